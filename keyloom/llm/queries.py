@@ -24,6 +24,19 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyloom.llm.quality import score
+
+    return score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyloom.llm.toxicity import severity
+
+    out = severity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "severity", "toxic_probability", "grade", "toxic")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyloom.llm.mixing import mix
 
@@ -49,6 +62,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op5_simhash": op5_simhash,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
