@@ -17,6 +17,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyloom.llm.contamination import contained
+
+    return contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), words=5, threshold=0.8)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyloom.llm.simhash import near_duplicates
 
@@ -61,6 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_decontamination": op3_decontamination,
     "op5_simhash": op5_simhash,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_toxicity": op7_toxicity,
