@@ -23,6 +23,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), words=5, threshold=0.8)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyloom.llm.pages import main_texts
+
+    return main_texts(read(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyloom.llm.simhash import near_duplicates
 
@@ -68,6 +74,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_decontamination": op3_decontamination,
+    "op4_html_extraction": op4_html_extraction,
     "op5_simhash": op5_simhash,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_toxicity": op7_toxicity,
