@@ -69,8 +69,10 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tupl
     return level.select("source", "source_size", F.when(F.col("is_free"), share).otherwise(F.col("cap").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """docs(doc_id, text, source, ...) -> doc_id, size, source_size, target, taken, epochs, plus source and sample_key.
+def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED, keep: Column | None = None) -> DataFrame:
+    """docs(doc_id, text, source, ...) -> doc_id, source, size, source_size, target, taken, copies, sample_key, kept.
+
+    `keep` is an expression over docs whose value comes back as kept, for telling rows apart (null without one).
 
     Null texts have size 0; a null source is a source of its own, ordered last; a null id hashes as the empty string.
     Rows that repeat an id are separate rows with the same key, ordered by size; equal rows are interchangeable. An
@@ -78,9 +80,10 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> Data
     when the budget reaches its middle, so a source misses its target by at most half a document.
     """
     size = text_size(F.col("_t"))
-    slim = docs.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text").alias("_t"))
-    slim = slim.select("_d", "_s", size.alias("_n"), "_t").withColumn("_w", text_quality(F.col("_t"), F.col("_n")))
-    slim = slim.select("_d", "_s", "_n", (-F.log(uniform(F.col("_d"), seed)) / F.col("_w")).alias("_k"))
+    mark = F.lit(None).cast("long") if keep is None else keep
+    slim = docs.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text").alias("_t"), mark.alias("_m"))
+    slim = slim.select("_d", "_s", "_m", size.alias("_n"), "_t").withColumn("_w", text_quality(F.col("_t"), F.col("_n")))
+    slim = slim.select("_d", "_s", "_m", "_n", (-F.log(uniform(F.col("_d"), seed)) / F.col("_w")).alias("_k"))
     slim = cut(slim, "mix")
     rows = slim.count()
     buckets = max(16, -(-rows // BUCKET_ROWS))
@@ -100,7 +103,7 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> Data
     # One row a bucket: joined by both columns, so that a large source is spread over its buckets.
     full = slim.join(buckets_plan, F.col("_s").eqNullSafe(F.col("_ps")) & (F.col("_b") == F.col("_pb")))
     open_bucket = (F.col("_before") < F.col("budget")) & (F.col("_before") + F.col("_bn") > F.col("budget"))
-    inside = W.partitionBy("_s", "_b").orderBy("_k", "_d", "_n").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("_s", "_b").orderBy("_k", "_d", "_n", "_m").rowsBetween(W.unboundedPreceding, -1)
     full = full.withColumn("_at", F.when(open_bucket, F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).otherwise(F.col("_before")))
     drawn = F.when(open_bucket, F.col("_at") * 2 + F.col("_n") <= F.col("budget") * 2).otherwise(F.col("_before") + F.col("_bn") <= F.col("budget"))
     return full.select(
@@ -112,4 +115,22 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> Data
         ((F.col("epochs") + drawn.cast("long")) * F.col("_n")).alias("taken"),
         (F.col("epochs") + drawn.cast("long")).alias("copies"),
         F.col("_k").alias("sample_key"),
+        F.col("_m").alias("kept"),
     )
+
+
+def mixed_documents(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The documents that the mix takes, with all their columns and source_size, target, taken and copies (those names
+    are replaced). Rows equal in id, text and source come once, with the copies of all of them."""
+    new = ["size", "source_size", "target", "taken", "copies"]
+    plan = mix(docs, max_epochs, seed, keep=F.xxhash64("text"))
+    plan = plan.groupBy("doc_id", "kept", "source").agg(*[(F.sum if c in ("taken", "copies") else F.first)(c).alias(c) for c in new], F.count(F.lit(1)).alias("_rows"))
+    plan = cut(plan.where("copies > 0").withColumnsRenamed({"doc_id": "_pd", "source": "_ps", "kept": "_pt"}), "mix-plan")
+    state = plan.agg(F.count(F.lit(1)).alias("n"), F.max("_rows").alias("most")).first()
+    if (state["most"] or 0) > 1:
+        docs = docs.dropDuplicates(["doc_id", "text", "source"])
+    if state["n"] <= broadcast_rows:  # a few numbers a row
+        plan = F.broadcast(plan)
+    same = F.col("d.doc_id").eqNullSafe(F.col("_pd")) & F.col("d.source").eqNullSafe(F.col("_ps")) & (F.xxhash64(F.col("d.text")) == F.col("_pt"))
+    kept = [F.col(f"d.`{c}`") for c in docs.columns if c not in new]
+    return docs.alias("d").join(plan.alias("p"), same).select(*kept, *[F.col(f"p.{c}") for c in new])

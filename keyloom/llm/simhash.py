@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import cut, ship
@@ -140,3 +141,123 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2, seed: int =
     named = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of = of.join(named, "component").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+# Groups of near copies among documents, for dropping all but one.
+#
+# Two texts of which 5-word shingles agree to four fifths differ in some ten bits of a fingerprint of shingles, too many
+# for any index; of a fingerprint of their distinct words they differ in about four. So candidates come from several
+# fingerprints of words, and a candidate counts if the shingles' exact Jaccard similarity is high enough.
+
+TABLES = 3
+_SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+
+
+def word_fingerprints(text: bytes | None, tables: int = TABLES) -> list[int]:
+    """Fingerprints of a text's distinct lower-cased words under several hashes."""
+    from xxhash import xxh64_intdigest as xxh
+
+    words = {*(text or b"").lower().split()}
+    h = np.fromiter(map(xxh, words), np.uint64, len(words))
+    out = []
+    for t in range(tables):
+        x = (h ^ np.uint64(_SPREAD[t % 4])) * np.uint64(_SPREAD[(t + 1) % 4] + 2 * (t // 4))
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(_SPREAD[(t + 2) % 4])
+        out.append(fingerprint(x ^ (x >> np.uint64(29))))
+    return out
+
+
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    """The distinct shingles' hashes, 32 bits each, in order."""
+    return np.unique((shingle_hashes(text, words, 0) >> np.uint64(32)).astype(np.uint32))
+
+
+def candidate_links(nodes: DataFrame, most: int = 4, tables: int = TABLES) -> DataFrame:
+    """nodes(t, fps) -> a, b: neighbours within `most` bits in the order of fingerprints under each signature.
+
+    Every text emits its segments and their one-wildcard variants for each table. The texts with one signature are put
+    in order of their fingerprints and each is linked to the one before: a group of n similar texts gives n links a
+    signature and not n squared, and is connected many times over by its signatures.
+    """
+    segments = cuts(BITS, most)
+    fp = F.col("fp")
+    keys = []
+    for i, (shift, width) in enumerate(segments):
+        keys.append(F.xxhash64("table", F.lit(-1 - i), _segment(fp, shift, width)))
+    for i, (shift, width) in enumerate(segments[: max(0, most - len(segments) + 1)]):
+        for bit in range(width):
+            keys.append(F.xxhash64("table", F.lit(i * BITS + bit), _segment(fp, shift, width).bitwiseAND(F.lit(~(1 << bit)).cast("long"))))
+    each = nodes.select("t", F.posexplode("fps").alias("table", "fp"))
+    signed = each.select("t", "fp", F.explode(F.array(*keys)).alias("k"))
+    # Texts with the same fingerprint in a table are chained by their ids in the same order.
+    order = W.partitionBy("k").orderBy("fp", "t")
+    chained = signed.select("t", "fp", F.lag("t").over(order).alias("t0"), F.lag("fp").over(order).alias("fp0"))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp0"))) <= most
+    return chained.where(near & (F.col("t0") != F.col("t"))).select(F.least("t", "t0").alias("a"), F.greatest("t", "t0").alias("b")).distinct()
+
+
+def surplus_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 4, tables: int = TABLES) -> DataFrame:
+    """docs(doc_id, text, ...) -> doc_id, t (hash of the text), kept_id: the documents to drop, with the one that stays.
+
+    Groups are what links of `similarity` (Jaccard of distinct shingles of `words` words; fewer words are one shingle)
+    reach, equal texts included; the smallest doc_id of a group stays (null last, then by the text's hash). All null
+    texts are one text, and all texts without words equal in it.
+    """
+    ship(docs.sparkSession)
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [word_fingerprints(t.as_py(), tables) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "t", "fps"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("x"))
+    table = cut(rows.mapInArrow(prints, f"doc_id {kind}, t long, fps array<long>"), "copies")
+    nodes = table.groupBy("t").agg(F.first("fps").alias("fps"))
+    pairs = cut(candidate_links(nodes, most, tables), "copy-pairs")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["t", "s"])
+
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct(), "copy-ids")
+    wanted = F.broadcast(wanted) if wanted.count() <= 1_000_000 else wanted
+    shingles = rows.select("t", "x").join(wanted, "t", "left_semi").mapInArrow(sets, "t long, s binary")
+    shingles = cut(shingles.groupBy("t").agg(F.first("s").alias("s")), "copy-shingles")
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                if min(len(p), len(q)) < similarity * max(len(p), len(q)):
+                    keep.append(False)
+                    continue
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    sa, sb = (shingles.select(F.col("t").alias(n), F.col("s").alias(f"s{n}")) for n in "ab")
+    verified = pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long")
+    linked = components(verified)
+    first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "t")
+    per_text = table.groupBy("t").agg(F.min(first).alias("f"), F.count(F.lit(1)).alias("n"))
+    per_text = per_text.join(linked.withColumnRenamed("node", "t"), "t", "left").withColumn("class", F.coalesce("component", "t"))
+    named = per_text.groupBy("class").agg(F.min("f").alias("f"), F.sum("n").alias("n")).where("n > 1")
+    of = per_text.select("t", "class").join(named.select("class", "f"), "class").select("t", "f")
+    member = table.select("doc_id", "t").join(of, "t")
+    stays = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("t") == F.col("f.t"))
+    return member.where(~stays).select("doc_id", "t", F.col("f.doc_id").alias("kept_id")).distinct()
+
+
+def drop_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """docs without all but one document of each group of near copies, with all their columns. Rows equal in id and text
+    are copies too."""
+    gone = cut(surplus_copies(docs, words, similarity).select(F.col("doc_id").alias("_gd"), F.col("t").alias("_gt")), "copy-gone")
+    twice = docs.groupBy("doc_id", F.xxhash64("text")).count().where("count > 1").limit(1).count()
+    if twice:
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    if gone.count() <= broadcast_rows:  # two numbers a row
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gd"]) & (F.xxhash64(docs["text"]) == gone["_gt"]), "left_anti")
