@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import ship
+from keyloom.llm.common import cut, ship
 
 #: The most labelled documents that a model is fitted on, drawn by a hash of their ids.
-SAMPLE = 10_000
+SAMPLE = 20_000
 DIMENSIONS = 1 << 20
 PREFIXES = range(4, 9)
 GRADES = 3
@@ -75,37 +75,18 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - np.asarray(linear, float)[:, None], -60, 60)))
 
 
-def lifts(rows: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each feature the log ratio of its rates in toxic and other texts, and how many toxic texts have it."""
-    seen = [np.zeros(DIMENSIONS, np.int32) for _ in range(2)]
-    for (ids, _, _), t in zip(rows, toxic, strict=True):
-        seen[t][ids] += 1
-    n = np.bincount(toxic, minlength=2)
-    return np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1)), seen[1]
-
-
-def grades(rows: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray) -> np.ndarray:
-    lift, seen = lifts(rows, toxic)
-    telling = (lift > 2.5) & (seen >= max(5, toxic.sum() // 100))
+def grades(rows: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray, strong: set[int]) -> np.ndarray:
+    """0 for texts that are not toxic, else 1 to 3 by the strong features in 100 distinct words."""
     out = np.zeros(len(rows), np.int64)
     for i in np.flatnonzero(toxic):
         ids, counts, distinct = rows[i]
-        share = 100 * counts[telling[ids]].sum() / max(1, distinct)
+        share = 100 * sum(int(n) for f, n in zip(ids, counts, strict=True) if int(f) in strong) / max(1, distinct)
         out[i] = 1 + (share >= 2) + (share >= 5)
     return out
 
 
-def telling_features(rows: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray) -> np.ndarray:
-    """The features that a model may use: those that a share of the toxic texts have and that are rarer in the others.
-    Without this the many words that mark neither class would drown the few that do in a long text."""
-    lift, seen = lifts(rows, toxic)
-    return (lift > MIN_LIFT) & (seen >= max(MIN_SEEN, toxic.sum() * MIN_SHARE))
-
-
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grade: np.ndarray, epochs: int = EPOCHS) -> Model:
     """Adagrad over mini-batches in a fixed order, with a soft threshold that keeps the weights sparse."""
-    used = telling_features(rows, (grade > 0).astype(np.int64))
-    rows = [(ids[used[ids]], counts[used[ids]], n) for ids, counts, n in rows]
     w, gw = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-8)
     counts = np.bincount(grade, minlength=GRADES + 1)
     above = np.clip((counts[::-1].cumsum()[::-1][1:] + 0.5) / (len(grade) + 1), 1e-4, 1 - 1e-4)
@@ -139,31 +120,63 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grade: np.ndarray, epoch
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from at most `sample` labelled documents, none of them with crc32(doc_id as text) mod 5 = 0; None without
-    labels of both kinds. Features are made on the executors."""
+    labels of both kinds.
+
+    A model may use only telling features, those that a share of the toxic texts have and that are rarer in the others;
+    without that the many words that mark neither class would drown the few that do in a long text. They are counted
+    and chosen on the executors, and of each text only they come to the driver.
+    """
     spark = docs.sparkSession
     ship(spark)
+    doc_id = F.col("doc_id")
+    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & doc_id.isNotNull())
+    marked = marked.where(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = marked.orderBy(F.xxhash64(F.lit("toxic"), "doc_id"), "doc_id").limit(sample)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("doc_id", "toxic", F.col("text").cast("binary").alias("t"))
+    texts = cut(texts, "toxicity")
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(DIMENSIONS, np.int32)
+        for batch in batches:
+            for t in batch.column(2):
+                seen[text_features(t.as_py())[0]] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["f", "n1"])
+
+    n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    if len(n) < 2:
+        return None
+    rare = texts.where("toxic = 1").mapInArrow(tally, "f int, n1 int").groupBy("f").agg(F.sum("n1").alias("n1")).where(F.col("n1") >= max(MIN_SEEN, n[1] * MIN_SHARE))
+    possible = {r["f"]: r["n1"] for r in rare.collect()}
+    allowed = spark.sparkContext.broadcast(np.array(sorted(possible), np.int32))  # DIMENSIONS numbers at most
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [text_features(t.as_py()) for t in batch.column(2)]
+            rows = []
+            for t in batch.column(2):
+                ids, counts, distinct = text_features(t.as_py())
+                keep = np.isin(ids, allowed.value)
+                rows.append((ids[keep], counts[keep], distinct))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.int32())],
                 ["doc_id", "toxic", "ids", "counts", "n"],
             )
 
-    doc_id = F.col("doc_id")
-    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & doc_id.isNotNull())
-    marked = marked.where(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marked = marked.orderBy(F.xxhash64(F.lit("toxic"), "doc_id"), "doc_id").limit(sample)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("doc_id", "toxic", F.col("text").cast("binary").alias("t"))
-    found = texts.mapInArrow(extract, f"doc_id {kind}, toxic int, ids array<int>, counts array<int>, n int").limit(2 * sample).toPandas()
+    slim = cut(texts.mapInArrow(extract, f"doc_id {kind}, toxic int, ids array<int>, counts array<int>, n int"), "toxicity-features")
+    clean = {r["f"]: r["n"] for r in slim.where("toxic = 0").select(F.explode("ids").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()}
+    lift = {f: np.log((k + 0.5) / (n[1] + 1)) - np.log((clean.get(f, 0) + 0.5) / (n[0] + 1)) for f, k in possible.items()}
+    telling = [f for f, x in lift.items() if x > MIN_LIFT]
+    strong = {f for f in telling if lift[f] > 2.5 and possible[f] >= max(5, n[1] // 100)}
+    found = slim.orderBy("doc_id").limit(2 * sample).toPandas()
+    use = np.zeros(DIMENSIONS, bool)
+    use[telling] = True
+    rows = []
+    for ids, counts, distinct in zip(found["ids"], found["counts"], found["n"], strict=True):
+        ids, counts = np.asarray(ids, np.int64), np.asarray(counts, np.int64)
+        rows.append((ids[use[ids]], counts[use[ids]], int(distinct)))
     toxic = found["toxic"].to_numpy(np.int64)
-    if not len(found) or toxic.min() == toxic.max():
-        return None
-    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
-    rows = [(np.asarray(found["ids"].iloc[i], np.int64), np.asarray(found["counts"].iloc[i], np.int64), int(found["n"].iloc[i])) for i in order]
-    return fit(rows, grades(rows, toxic[order]))
+    return fit(rows, grades(rows, toxic, strong))
 
 
 def severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
