@@ -116,7 +116,7 @@ def assemble(blocks: DataFrame) -> DataFrame:
     grouped = blocks.groupBy("file").agg(hexed.alias("b"))
     padded = F.transform(
         F.sequence(F.lit(0).cast("long"), F.element_at("b", -1)["block_no"]),
-        lambda i: F.coalesce(F.element_at(F.filter("b", lambda x: x["block_no"] == i), 1)["data"], F.lit(b"")),
+        lambda i: F.coalesce(F.get(F.filter("b", lambda x: x["block_no"] == i), F.lit(0))["data"], F.lit(b"")),
     )
     last = F.size(padded) - 1
     text = F.array_join(F.transform(padded, lambda d, i: F.when(i < last, F.rpad(F.hex(d), 2 * BLOCK, "0")).otherwise(F.hex(d))), "")

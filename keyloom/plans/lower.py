@@ -41,7 +41,7 @@ def condition(node: Node | None, schema: T.StructType, negate: bool = False) ->
 def key_bound(keys: list[str], schema: T.StructType, value: Any, op: str) -> Column:
     """A comparison with a key value; composite keys compare member by member, and the first member alone as well, which
     readers can use to skip row groups."""
-    values = list(value) if len(keys) > 1 else [value]
+    values = [value] if len(keys) == 1 else list(value) if isinstance(value, (list, tuple)) else []
     if len(values) != len(keys):
         raise ValueError(f"a key has {len(keys)} members: {keys}")
     kinds = [field_type(schema, k) for k in keys]
