@@ -247,8 +247,7 @@ def test_points_and_neighbours(spark):
 
 
 def test_composite_keys(spark):
-    rows = [(a, b, a * 10 + b) for a in range(5) for b in "xyz"]
-    rows = [(a, b, i) for i, (a, b, _) in enumerate(rows)]
+    rows = [(a, b, i) for i, (a, b) in enumerate(itertools.product(range(5), "xyz"))]
     t = Table(spark.createDataFrame(rows, "a int, b string, n int"), ["a", "b"])
     got = [(r["a"], r["b"]) for r in t.scan(KeyQuery.between((1, "y"), (3, "x"), False, True)).collect()]
     assert got == [(a, b) for a, b, _ in rows if (1, "y") < (a, b) <= (3, "x")]
