@@ -14,6 +14,7 @@ however many share it.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import SPACE, cut, let
@@ -66,7 +67,8 @@ def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
 
 
 def _keys(line: Column, length: Column, tau: int) -> tuple[Column, Column]:
-    """Hashes of the segments that index a line, and of the substrings that probe for lines as long or shorter."""
+    """Hashes of the tau + 1 segments that index a line, and of the other substrings that probe for lines as long or
+    shorter. (Probing for lines as long at the segments' own places is the index itself.)"""
     index, probe = [], []
     for i in range(tau + 1):
         start, size = _segment(length, i, tau)
@@ -76,7 +78,8 @@ def _keys(line: Column, length: Column, tau: int) -> tuple[Column, Column]:
         for i in range(tau + 1):
             start, size = _segment(other, i, tau)
             for shift in range(max(-i, shorter - (tau - i)), min(i, shorter + tau - i) + 1):
-                probe.append(F.xxhash64(F.lit(i), other, F.substring(line, (start + shift).cast("int"), size)))
+                if shorter or shift:
+                    probe.append(F.xxhash64(F.lit(i), other, F.substring(line, (start + shift).cast("int"), size)))
     return F.array(*index), F.array(*probe)
 
 
@@ -134,23 +137,39 @@ def edit_distance(a: Column, b: Column, tau: int = TAU) -> Column:
     return let(F.split(a, ""), over)
 
 
+def _near_lines(lines: DataFrame, tau: int) -> DataFrame:
+    """_h of the lines that share an index key with another line: those that can have a partner at all.
+
+    Most lines can't, and only hashes are needed to tell, so texts are neither shuffled nor looked at closely for them.
+    """
+    index, probe = _keys(F.col("_line"), F.length("_line"), tau)
+    keyed = lines.select("_h", "_g", F.concat(index, probe).alias("_keys"))
+    # One row a line. Two lines with one hash, should that happen, are left alone.
+    single = keyed.groupBy("_h").agg(F.first("_keys").alias("_keys"), F.min("_g").alias("_g0"), F.max("_g").alias("_g1")).where("_g0 = _g1")
+    each = single.select("_h", F.posexplode("_keys").alias("_p", "_k"))
+    same = W.partitionBy("_k")
+    met = each.select("_h", F.min("_h").over(same).alias("_lo"), F.max("_h").over(same).alias("_hi"), F.min("_p").over(same).alias("_first"))
+    return met.where((F.col("_lo") != F.col("_hi")) & (F.col("_first") <= tau)).select("_h").distinct()
+
+
+def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """_h, _line of wanted lines."""
+    small = wanted.count() <= BROADCAST_ROWS
+    found = lines.select("_h", "_line").join(F.broadcast(wanted) if small else wanted, "_h", "left_semi")
+    return cut(found.groupBy("_h").agg(F.first("_line").alias("_line")), "line-texts")
+
+
 def line_links(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """a, b (hashes, a < b): all pairs of different lines of MIN_CHARS characters or more within tau edits."""
     lines = _lines(docs)
-    # One row a line. Two lines with one hash, should that happen, are left alone.
-    single = lines.groupBy("_h").agg(F.first("_line").alias("_line"), F.min("_g").alias("_g0"), F.max("_g").alias("_g1")).where("_g0 = _g1")
+    texts = _texts(lines, cut(_near_lines(lines, tau), "line-ids"))
     index, probe = _keys(F.col("_line"), F.length("_line"), tau)
-    keyed = single.select("_h", _letter_counts(F.col("_line")).alias("_c"), index.alias("_index"), probe.alias("_probe"))
-    left = keyed.select(F.col("_h").alias("_ha"), F.col("_c").alias("_ca"), F.explode("_index").alias("_k"))
-    right = keyed.select(F.col("_h").alias("_hb"), F.col("_c").alias("_cb"), F.explode("_probe").alias("_k"))
+    keyed = cut(texts.select("_h", _letter_counts(F.col("_line")).alias("_c"), index.alias("_index"), probe.alias("_probe")), "line-keys")
+    left = keyed.select(F.col("_h").alias("_ha"), F.col("_c").alias("_ca"), F.explode("_index").alias("_ka"))
+    right = keyed.select(F.col("_h").alias("_hb"), F.col("_c").alias("_cb"), F.explode(F.concat("_index", "_probe")).alias("_kb"))
     close = (F.col("_ha") != F.col("_hb")) & (_letters_apart(F.col("_ca"), F.col("_cb")) <= 2 * tau)
-    joined = left.join(right, (left["_k"] == right["_k"]) & close)
+    joined = left.join(right, (F.col("_ka") == F.col("_kb")) & close)
     pairs = cut(joined.select(F.least("_ha", "_hb").alias("a"), F.greatest("_ha", "_hb").alias("b")).distinct(), "line-pairs")
-
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("_h")).distinct(), "line-ids")
-    small = wanted.count() <= BROADCAST_ROWS
-    texts = lines.select("_h", "_line").join(F.broadcast(wanted) if small else wanted, "_h", "left_semi")
-    texts = cut(texts.groupBy("_h").agg(F.first("_line").alias("_line")), "line-texts")
     both = pairs.join(texts.select(F.col("_h").alias("a"), F.col("_line").alias("_la")), "a").join(texts.select(F.col("_h").alias("b"), F.col("_line").alias("_lb")), "b")
     near = F.abs(F.length("_la") - F.length("_lb")) <= tau
     return cut(both.where(F.when(near, edit_distance(F.col("_la"), F.col("_lb"), tau) <= tau).otherwise(F.lit(False))).select("a", "b"), "line-links")
