@@ -168,14 +168,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     lift = {f: np.log((k + 0.5) / (n[1] + 1)) - np.log((clean.get(f, 0) + 0.5) / (n[0] + 1)) for f, k in possible.items()}
     telling = [f for f, x in lift.items() if x > MIN_LIFT]
     strong = {f for f in telling if lift[f] > 2.5 and possible[f] >= max(5, n[1] // 100)}
-    found = slim.orderBy("doc_id").limit(2 * sample).toPandas()
-    use = np.zeros(DIMENSIONS, bool)
-    use[telling] = True
-    rows = []
-    for ids, counts, distinct in zip(found["ids"], found["counts"], found["n"], strict=True):
-        ids, counts = np.asarray(ids, np.int64), np.asarray(counts, np.int64)
-        rows.append((ids[use[ids]], counts[use[ids]], int(distinct)))
-    toxic = found["toxic"].to_numpy(np.int64)
+    used = spark.sparkContext.broadcast(np.array(sorted(telling), np.int32))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for ids, counts in zip(batch.column(2), batch.column(3), strict=True):
+                ids, counts = np.array(ids.values, np.int32), np.array(counts.values, np.int32)
+                mask = np.isin(ids, used.value)
+                kept.append((ids[mask], counts[mask]))
+            columns = [pa.array([k[i] for k in kept], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, batch.column(4)], batch.schema.names)
+
+    found = slim.mapInArrow(keep, slim.schema).orderBy("doc_id").limit(2 * sample).toArrow()  # a few numbers a text
+    rows = [
+        (np.array(ids.values, np.int64), np.array(counts.values, np.int64), n.as_py())
+        for ids, counts, n in zip(found.column("ids"), found.column("counts"), found.column("n"), strict=True)
+    ]
+    toxic = found.column("toxic").to_numpy().astype(np.int64)
     return fit(rows, grades(rows, toxic, strong))
 
 
