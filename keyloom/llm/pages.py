@@ -145,7 +145,7 @@ def repeated(pages: list[list[int]], length: int = RUN_TOKENS) -> list[np.ndarra
     while known < length:
         step = min(known, length - known)
         following = np.zeros(total, np.int64)
-        following[: total - step] = rank[step:] + 1
+        following[: max(0, total - step)] = rank[step:] + 1
         _, rank = np.unique(rank * (following.max() + 1) + following, return_inverse=True)
         known += step
     order = np.argsort(rank, kind="stable")  # the suffix array, to that depth
