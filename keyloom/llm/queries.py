@@ -90,4 +90,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+MIXING_SQL = r"""
+WITH counted AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS symbols FROM documents),
+keyed AS (
+  SELECT doc_id, source, size, -ln((('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 1.0) / 4503599627370496.0)
+    / (1.0::DOUBLE / (1.0::DOUBLE + symbols::DOUBLE / greatest(size, 1))) AS key FROM counted),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY source),
+capped AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, 3 * source_size AS cap FROM sources),
+levels AS (
+  SELECT *, sum(source_size) OVER () AS total, coalesce(sum(cap) OVER (by_ratio ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+    sum(weight) OVER (by_ratio ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM capped WINDOW by_ratio AS (ORDER BY cap::DOUBLE / weight, source NULLS LAST)),
+free AS (SELECT *, (total - below) * weight <= cap * rest AS is_free FROM levels),
+level AS (SELECT total - below AS left_over, rest AS left_weight, cap::DOUBLE / weight AS ratio FROM free WHERE is_free ORDER BY ratio, source NULLS LAST LIMIT 1),
+targets AS (
+  SELECT source, source_size, CASE WHEN cap::DOUBLE / weight >= ratio THEN left_over::DOUBLE * weight / left_weight ELSE cap::DOUBLE END AS target FROM free, level),
+plan AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END AS epochs FROM targets),
+placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before FROM keyed)
+SELECT doc_id, size, source_size, target, ((epochs + (2 * before + size <= 2 * (target - epochs * source_size))::INT) * size)::BIGINT AS taken
+FROM placed JOIN plan ON placed.source IS NOT DISTINCT FROM plan.source
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_mixing": MIXING_SQL}
