@@ -114,4 +114,21 @@ SELECT doc_id, size, source_size, target, ((epochs + (2 * before + size <= 2 * (
 FROM placed JOIN plan ON placed.source IS NOT DISTINCT FROM plan.source
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_mixing": MIXING_SQL}
+CONTAINMENT_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc_row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (
+  SELECT row_number() OVER () AS item_row, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+items AS (
+  SELECT item_row, item_id, k, unnest(list_distinct([array_to_string(w[i : i + k - 1], ' ') for i in range(1, len(w) - k + 2)])) AS shingle
+  FROM (SELECT *, least(5, len(w)) AS k FROM b) WHERE k > 0),
+sizes AS (SELECT item_row, count(*) AS n FROM items GROUP BY item_row),
+texts AS (
+  SELECT doc_row, doc_id, k, unnest(list_distinct([array_to_string(w[i : i + k - 1], ' ') for i in range(1, len(w) - k + 2)])) AS shingle
+  FROM d, (SELECT DISTINCT k FROM items) WHERE len(w) >= k)
+SELECT doc_id, item_id, n::INTEGER AS n_shingles, count(*)::INTEGER AS n_shared, count(*)::DOUBLE / n AS containment
+FROM texts JOIN items USING (k, shingle) JOIN sizes USING (item_row)
+GROUP BY doc_row, doc_id, item_row, item_id, n HAVING count(*) >= 0.8 * n
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": CONTAINMENT_SQL, "op8_mixing": MIXING_SQL}
