@@ -149,7 +149,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2, seed: int =
 # for any index; of a fingerprint of their distinct words they differ in about four. So candidates come from several
 # fingerprints of words, and a candidate counts if the shingles' exact Jaccard similarity is high enough.
 
+#
+# Candidates are found in two steps: neighbours under each signature are linked first, and then all pairs of candidates
+# that this has left in different classes. The classes are those of all pairs, but a class of very many copies is not
+# compared with itself.
+
 TABLES = 3
+#: 64-bit words of a bitmap of shingles; the bits of a class's number that are its own.
+PARITIES = 8
+CLASS_BITS = 57
+CLASS = (1 << CLASS_BITS) - 1
 _SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
@@ -172,74 +181,139 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     return np.unique((shingle_hashes(text, words, 0) >> np.uint64(32)).astype(np.uint32))
 
 
-def candidate_links(nodes: DataFrame, most: int = 4, tables: int = TABLES) -> DataFrame:
-    """nodes(t, fps) -> a, b: neighbours within `most` bits in the order of fingerprints under each signature.
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each value of the low bits of the hashes, whether an odd number of them has it, as PARITIES 64-bit numbers."""
+    odd = np.bincount(shingles % (64 * PARITIES), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
-    Every text emits its segments and their one-wildcard variants for each table. The texts with one signature are put
-    in order of their fingerprints and each is linked to the one before: a group of n similar texts gives n links a
-    signature and not n squared, and is connected many times over by its signatures.
-    """
+
+def _signed(nodes: DataFrame, most: int, wild: bool) -> DataFrame:
+    """nodes(t, c, fps) -> t, c, fp, k: a row for every signature of every text's fingerprints. The number of a signature
+    (see _first_signature) is in bits 32 to 39 of k, the table above them, the value of the segment below."""
     segments = cuts(BITS, most)
-    fp = F.col("fp")
-    keys = []
+    fp, values = F.col("fp"), [_segment(F.col("fp"), shift, width) for shift, width in segments]
+    if wild:
+        for shift, width in segments[: max(0, most - len(segments) + 1)]:
+            values += [_segment(fp, shift, width).bitwiseAND(F.lit(~(1 << bit)).cast("long")) for bit in range(width)]
+    keys = [(F.col("table").cast("long") * 256 + i) * (1 << 32) + v for i, v in enumerate(values)]
+    return nodes.select("t", "c", F.posexplode("fps").alias("table", "fp")).select("t", "c", "fp", F.explode(F.array(*keys)).alias("k"))
+
+
+def _first_signature(x: Column, most: int) -> Column:
+    """The number of the first signature that two fingerprints share, of their exclusive or: a segment that is equal, or
+    after all those a segment and its one bit that differs."""
+    segments = cuts(BITS, most)
+    found, at = [], len(segments)
     for i, (shift, width) in enumerate(segments):
-        keys.append(F.xxhash64("table", F.lit(-1 - i), _segment(fp, shift, width)))
-    for i, (shift, width) in enumerate(segments[: max(0, most - len(segments) + 1)]):
-        for bit in range(width):
-            keys.append(F.xxhash64("table", F.lit(i * BITS + bit), _segment(fp, shift, width).bitwiseAND(F.lit(~(1 << bit)).cast("long"))))
-    each = nodes.select("t", F.posexplode("fps").alias("table", "fp"))
-    signed = each.select("t", "fp", F.explode(F.array(*keys)).alias("k"))
+        found.append(F.when(_segment(x, shift, width) == 0, F.lit(i)))
+    for shift, width in segments[: max(0, most - len(segments) + 1)]:
+        value = _segment(x, shift, width)
+        found.append(F.when(F.bit_count(value) == 1, F.lit(at) + F.bit_count(value - 1)))
+        at += width
+    return F.coalesce(*found)
+
+
+def chain_links(nodes: DataFrame, most: int = 4) -> DataFrame:
+    """nodes(t, c, fps) -> a, b: of the texts with an equal segment, neighbours within `most` bits in the order of
+    fingerprints. A group of n similar texts gives n links a signature and not n squared; not all pairs are among them."""
     # Texts with the same fingerprint in a table are chained by their ids in the same order.
     order = W.partitionBy("k").orderBy("fp", "t")
-    chained = signed.select("t", "fp", F.lag("t").over(order).alias("t0"), F.lag("fp").over(order).alias("fp0"))
+    chained = _signed(nodes, most, wild=False).select("t", "fp", F.lag("t").over(order).alias("t0"), F.lag("fp").over(order).alias("fp0"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp0"))) <= most
     return chained.where(near & (F.col("t0") != F.col("t"))).select(F.least("t", "t0").alias("a"), F.greatest("t", "t0").alias("b")).distinct()
 
 
-def surplus_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 4, tables: int = TABLES) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, t (hash of the text), kept_id: the documents to drop, with the one that stays.
+def candidate_links(nodes: DataFrame, most: int = 4) -> DataFrame:
+    """nodes(t, c, fps) -> a, b with a < b: all pairs of texts of different classes c (null: a class of its own) with
+    fingerprints within `most` bits (2 or more) in some table.
 
-    Groups are what links of `similarity` (Jaccard of distinct shingles of `words` words; fewer words are one shingle)
-    reach, equal texts included; the smallest doc_id of a group stays (null last, then by the text's hash). All null
-    texts are one text, and all texts without words equal in it.
+    Under each signature the class that sorts last, a large one as classes number by size, is compared with the other
+    texts but not within itself. A pair leaves the join only under the first signature it shares.
+    """
+    signed = _signed(nodes, most, wild=True)
+    left, right = (signed.select(*[F.col(c).alias(f"{c}{x}") for c in ("t", "c", "fp", "k")]) for x in "ab")
+    ca, cb = (F.coalesce(f"c{x}", F.col(f"t{x}").bitwiseAND(F.lit(CLASS).cast("long"))) for x in "ab")
+    left = left.withColumn("last", F.max(ca).over(W.partitionBy("ka"))).where(ca < F.col("last"))
+    x = F.col("fpa").bitwiseXOR(F.col("fpb"))
+    first = F.shiftright("ka", 32).bitwiseAND(F.lit(255).cast("long")) == _first_signature(x, most)
+    once = (cb == F.col("last")) | (F.col("ta") < F.col("tb"))
+    found = left.join(right, (F.col("ka") == F.col("kb")) & (F.bit_count(x) <= most) & (ca != cb) & once & first)
+    return found.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
+
+
+def _numbered(linked: DataFrame) -> DataFrame:
+    """components() -> t, c: every text of a class of two or more with the class's number, which grows with the class's
+    size (its power of two in the bits above CLASS)."""
+    sizes = linked.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("n"))
+    number = F.shiftleft(F.floor(F.log2("n")).cast("long"), CLASS_BITS).bitwiseOR(F.col("component").bitwiseAND(F.lit(CLASS).cast("long")))
+    sizes = sizes.select("component", number.alias("c"))
+    return linked.join(sizes, "component").select(F.col("node").alias("t"), "c").union(sizes.select(F.col("component").alias("t"), "c"))
+
+
+def similar_links(rows: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """rows(t, x), pairs(a, b) -> a, b: the pairs whose texts' shingle sets have that Jaccard similarity.
+
+    Sets that similar differ in at most (1 - s) / (1 + s) of their summed sizes, and by at least as many shingles as bits
+    of their parity bitmaps differ: that rules most other pairs out before the sets are fetched.
     """
-    ship(docs.sparkSession)
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = [word_fingerprints(t.as_py(), tables) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "t", "fps"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("x"))
-    table = cut(rows.mapInArrow(prints, f"doc_id {kind}, t long, fps array<long>"), "copies")
-    nodes = table.groupBy("t").agg(F.first("fps").alias("fps"))
-    pairs = cut(candidate_links(nodes, most, tables), "copy-pairs")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["t", "s"])
+            found = [shingle_set(t.as_py(), words) for t in batch.column(1)]
+            maps = np.array([parities(s) for s in found], np.int64).reshape(-1, PARITIES)
+            columns = [batch.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(maps[:, i]) for i in range(PARITIES)], ["t", "s", "n", *bitmap])
 
+    bitmap = [f"m{i}" for i in range(PARITIES)]
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct(), "copy-ids")
     wanted = F.broadcast(wanted) if wanted.count() <= 1_000_000 else wanted
-    shingles = rows.select("t", "x").join(wanted, "t", "left_semi").mapInArrow(sets, "t long, s binary")
-    shingles = cut(shingles.groupBy("t").agg(F.first("s").alias("s")), "copy-shingles")
+    schema = "t long, s binary, n long, " + ", ".join(f"{m} long" for m in bitmap)
+    shingles = rows.select("t", "x").join(wanted, "t", "left_semi").mapInArrow(sets, schema)
+    shingles = cut(shingles.groupBy("t").agg(*[F.first(c).alias(c) for c in ("s", "n", *bitmap)]), "copy-shingles")
+
+    ma, mb = (shingles.select(F.col("t").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", *bitmap)]) for x in "ab")
+    differ = F.lit(0)
+    for m in bitmap:
+        differ = differ + F.bit_count(F.col(f"{m}a").bitwiseXOR(F.col(f"{m}b")))
+    sizes = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6
+    able = sizes & (differ <= (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    able = cut(pairs.join(ma, "a").join(mb, "b").where(able).select("a", "b"), "copy-able")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-                if min(len(p), len(q)) < similarity * max(len(p), len(q)):
-                    keep.append(False)
-                    continue
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     sa, sb = (shingles.select(F.col("t").alias(n), F.col("s").alias(f"s{n}")) for n in "ab")
-    verified = pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long")
+    return cut(able.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long"), "copy-links")
+
+
+def surplus_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 4, tables: int = TABLES) -> DataFrame:
+    """docs(doc_id, text, ...) -> doc_id, t (hash of the text), kept_id: the documents to drop, with the one that stays.
+
+    Groups are what links of `similarity` (Jaccard of distinct shingles of `words` words; fewer words are one shingle)
+    reach, equal texts included; the smallest doc_id of a group stays (null last, then by the text's hash). All null
+    texts are one text, and all texts without words equal in it.
+    """
+    ship(docs.sparkSession)
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [word_fingerprints(t.as_py(), tables) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "t", "fps"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("x"))
+    table = cut(rows.mapInArrow(prints, f"doc_id {kind}, t long, fps array<long>"), "copies")
+    nodes = table.groupBy("t").agg(F.first("fps").alias("fps"))
+    nodes = cut(nodes, "copy-nodes")
+    verified = similar_links(rows, cut(chain_links(nodes.select("t", F.lit(None).cast("long").alias("c"), "fps"), most), "copy-pairs"), words, similarity)
+    classes = _numbered(components(verified))
+    verified = verified.union(similar_links(rows, cut(candidate_links(nodes.join(classes, "t", "left"), most), "copy-pairs"), words, similarity))
     linked = components(verified)
     first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "t")
     per_text = table.groupBy("t").agg(F.min(first).alias("f"), F.count(F.lit(1)).alias("n"))

@@ -258,6 +258,28 @@ def test_copies_are_found(spark):
     assert len(kept) <= len(first) + 2  # and few copies are missed
 
 
+def test_copies_inside_a_large_family_are_found(spark):
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(300)]
+    docs = [[f"n{rng.getrandbits(40)}" if rng.random() < 0.05 else w for w in base] for _ in range(500)]
+    for w in docs[:100]:  # a copy of some members, with two words changed
+        docs.append(list(w))
+        for at in rng.sample(range(300), 2):
+            docs[-1][at] = f"n{rng.getrandbits(40)}"
+    rng.shuffle(docs)
+    prints = [simhash.word_fingerprints(" ".join(w).encode()) for w in docs]
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in docs]
+    links = []
+    for i, j in itertools.combinations(range(len(docs)), 2):
+        if any(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 for a, b in zip(prints[i], prints[j], strict=True)):
+            both = len(shingles[i] & shingles[j])
+            if both >= 0.8 * (len(shingles[i]) + len(shingles[j]) - both) - 1e-9:
+                links.append((i, j))
+    want = [n for n, c in classes(range(len(docs)), links).items() if n == c]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string").repartition(3)
+    assert len(links) > 80 and sorted(r["doc_id"] for r in simhash.drop_copies(df).collect()) == want
+
+
 # Classifiers
 
 
