@@ -1,6 +1,7 @@
 """Line dedup by a segment-partition edit join. DataFrame operations only.
 
-Lines within TAU edits of each other form classes; of every class only the first line stays. If a line is cut into
+Equal lines, and lines of EDIT_CHARS characters or more within TAU edits of each other, form classes; of every class only
+the first line stays. If a line is cut into
 TAU + 1 segments, TAU edits leave one segment whole, so the other line has it as a substring, and its length and the
 number of edits left bound where. Lines are indexed by their segments, probed by the substrings of those lengths at
 those places (the multi-match-aware selection: 12 a line for 2 edits), and joined by equality. Pairs are verified by the
@@ -21,8 +22,9 @@ from keyloom.llm.common import SPACE, cut, let
 from keyloom.llm.components import components
 
 TAU = 2
-#: Shorter lines are left alone: two edits make another word of them.
-MIN_CHARS = 32
+#: Shorter lines, blank ones, are left alone. Lines under EDIT_CHARS class by equality only: two edits make another word of them.
+MIN_CHARS = 1
+EDIT_CHARS = 32
 #: A document stays if so much of it does.
 KEEP_SHARE = 0.2
 #: The letters whose counts, modulo 16, are compared.
@@ -31,10 +33,10 @@ LETTERS = "etaoinshrdlucmgp"
 BROADCAST_ROWS = 1_000_000
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """_d, _t (hash of the text: rows that repeat an id with another text are other documents), _i, line, _h, _g (two hashes)."""
+def _lines(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
+    """The lines of `shortest` characters or more: _d, _t (hash of the text: rows that repeat an id with another text are other documents), _i, line, _h, _g (two hashes)."""
     split = docs.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"), F.posexplode(F.split("text", "\n")).alias("_i", "_line"))
-    split = split.where(F.length("_line") >= MIN_CHARS).withColumn("_line", F.trim("_line", F.lit(SPACE))).where(F.length("_line") >= MIN_CHARS)
+    split = split.where(F.length("_line") >= shortest).withColumn("_line", F.trim("_line", F.lit(SPACE))).where(F.length("_line") >= shortest)
     return split.withColumns({"_h": F.xxhash64("_line"), "_g": F.xxhash64(F.lit("2"), F.col("_line"))})
 
 
@@ -160,8 +162,8 @@ def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def line_links(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """a, b (hashes, a < b): all pairs of different lines of MIN_CHARS characters or more within tau edits."""
-    lines = _lines(docs)
+    """a, b (hashes, a < b): all pairs of different lines of EDIT_CHARS characters or more within tau edits."""
+    lines = _lines(docs, EDIT_CHARS)
     texts = _texts(lines, cut(_near_lines(lines, tau), "line-ids"))
     index, probe = _keys(F.col("_line"), F.length("_line"), tau)
     keyed = cut(texts.select("_h", _letter_counts(F.col("_line")).alias("_c"), index.alias("_index"), probe.alias("_probe")), "line-keys")
@@ -200,8 +202,9 @@ def line_report(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_lines, n_removed, n_links, removed (line numbers from 0, in order), classes
     (line, class_doc, class_line, class_size of each line that has others in its class), for every document.
 
-    A line is a run of text between line feeds, compared without white space around it; lines under MIN_CHARS characters
-    are left alone. A class is what links of tau edits or fewer reach, and its first line is that of the smallest doc_id
+    A line is a run of text between line feeds, compared without white space around it; blank lines are left alone. A
+    class is what links of tau edits or fewer reach (between lines of EDIT_CHARS characters or more; shorter lines class
+    with their equals only), and its first line is that of the smallest doc_id
     (null last) and then the smallest number. Null texts have no lines. Rows equal in id and text share one report line
     each; an empty table gives an empty result. Columns of other names are ignored.
     """

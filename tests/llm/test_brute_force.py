@@ -101,6 +101,12 @@ def test_line_report(spark):
     assert len(links) > 5
 
 
+def test_short_lines_class_by_equality(spark):
+    rows = [(1, "Menu\n\nShare this\nMenu"), (2, " Menu \n \nMenus\nx"), (3, "x\n" + "z" * 31 + "\n" + "z" * 31), (4, "z" * 30 + "y\n" + "q" * 32), (5, "q" * 31 + "r")]
+    got = {r["doc_id"]: (r["removed"], r["n_links"]) for r in lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ([3], 0), 2: ([0], 0), 3: ([0, 2], 0), 4: ([], 1), 5: ([0], 1)}
+
+
 # Quality rules
 
 
