@@ -25,8 +25,6 @@ TAU = 2
 #: Shorter lines, blank ones, are left alone. Lines under EDIT_CHARS class by equality only: two edits make another word of them.
 MIN_CHARS = 1
 EDIT_CHARS = 32
-#: A document stays if so much of it does.
-KEEP_SHARE = 0.2
 #: The letters whose counts, modulo 16, are compared.
 LETTERS = "etaoinshrdlucmgp"
 #: Candidate lines are looked up by broadcast up to so many, by a shuffle beyond.
@@ -224,8 +222,8 @@ def line_report(docs: DataFrame, tau: int = TAU) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, tau: int = TAU, broadcast_rows: int = 300_000) -> DataFrame:
-    """docs with repeated lines removed from the text, and all their columns. A document of whose characters less than
-    KEEP_SHARE is left, a copy but for its short lines, goes; one that lost nothing stays whatever it is."""
+    """docs with repeated lines removed from the text, and all their columns. A document that lost lines and has only blank
+    ones left goes; one that lost nothing stays whatever it is."""
     found = repeated_lines(docs, tau).where(~_first_of_class())
     gone = found.groupBy("_d", "_t").agg(F.collect_set("_i").alias("_gone")).withColumnRenamed("_d", "_gd")
     gone = cut(gone, "line-gone")
@@ -235,5 +233,5 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, broadcast_rows: int = 300_000)
     joined = docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g._gd")) & (F.xxhash64(F.col("d.text")) == F.col("g._t")), "left")
     left = F.array_join(F.filter(F.split(F.col("d.text"), "\n"), lambda x, i: ~F.array_contains(F.col("g._gone"), i)), "\n")
     text = F.when(F.col("g._gone").isNull(), F.col("d.text")).otherwise(left).alias("text")
-    out = joined.select(*[text if n == "text" else c for n, c in zip(docs.columns, columns, strict=True)], F.when(F.col("g._gone").isNotNull(), F.length(F.col("d.text"))).alias("_was"))
-    return out.where(F.col("_was").isNull() | (F.length(F.trim("text", F.lit(SPACE))) >= F.col("_was") * KEEP_SHARE)).drop("_was")
+    out = joined.select(*[text if n == "text" else c for n, c in zip(docs.columns, columns, strict=True)], F.col("g._gone").isNull().alias("_whole"))
+    return out.where(F.col("_whole") | (F.length(F.trim("text", F.lit(SPACE))) > 0)).drop("_whole")

@@ -107,6 +107,13 @@ def test_short_lines_class_by_equality(spark):
     assert got == {1: ([3], 0), 2: ([0], 0), 3: ([0, 2], 0), 4: ([], 1), 5: ([0], 1)}
 
 
+def test_documents_keep_what_is_left(spark):
+    long = "\n".join(f"line {i} of a long text that is quoted in full by another one" + "abcdefghij"[i % 10] * 9 for i in range(40))
+    rows = [(1, long), (2, long + "\nand one line of its own"), (3, "\n" + long + "\n \t\n"), (4, "Menu\n\nMenu"), (5, " \n"), (6, None)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: got[1], 2: "and one line of its own", 4: "Menu\n", 5: " \n", 6: None}
+
+
 # Quality rules
 
 
