@@ -438,3 +438,46 @@ def test_token_counts_equal_the_library(spark):
         t = texts[r["doc_id"]]
         best = max(k for k in range(len(t) + 1) if size(t[:k]) <= 7)
         assert r["text"] == t[:best] and r["n_tokens"] == size(t[:best])
+
+
+def test_prefix_counts_of_mixed_pieces_equal_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        counter = tokens.PrefixCounter(f.read())
+    rng = random.Random(5)
+    parts = ["a", "b", "é", "é", "İ", "Σ", "'", "'re", "'ll", "<|endoftext|>", "<|", "!", " ", " ", "\xa0", "1", "٣", "ß", "日本", "😂", "the", "\n", "Å", "́"]
+    for _ in range(800):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        want = [len(library.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)]
+        assert counter.prefixes(t) == want, t
+        assert counter.count(t.encode()) == want[-1], t
+
+
+def test_pairs_of_tokens_hold_as_encoding_them_says():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        counter = tokens.PrefixCounter(f.read())
+    rng = random.Random(6)
+    inner = sorted(counter.inner_tokens)
+    all_tokens = sorted(counter.vocab)
+    for _ in range(3000):
+        a, b = rng.choice(inner), rng.choice(all_tokens)
+        if counter._merge(counter._symbols(a)) == [a] and counter._merge(counter._symbols(b)) == [b]:
+            assert counter._keeps(a, b) == (counter._merge([*counter._symbols(a), *counter._symbols(b)]) == [a, b]), (a, b)
+
+
+def test_truncation_keeps_repeated_and_null_ids_apart(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(1, "one two three"), (1, "four"), (None, "five six seven"), (2, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, tokens.truncate(df, path, 2).collect()), key=repr)
+    assert got == sorted([(1, "one two ", 2), (1, "four", 1), (None, "five six ", 2), (2, "", 0), (3, "", 0)], key=repr)
+    assert tokens.truncate(df.limit(0), path, 2).count() == 0
+    assert sorted((r["doc_id"], len(r["counts"])) for r in tokens.prefix_tables(df.where("doc_id > 1"), path).collect()) == [(2, 1), (3, 1)]
