@@ -177,7 +177,7 @@ class PrefixCounter:
         return text.lower()
 
     def _bytes(self, word: str) -> str:
-        return word if word.isascii() else "".join([self.alphabet[b] for b in word.encode()])
+        return word if word.isascii() and word.isprintable() else "".join([self.alphabet[b] for b in word.encode()])
 
     def _plain(self, text: str) -> int:
         """The count of a text without special tokens."""
