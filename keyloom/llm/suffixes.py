@@ -33,6 +33,8 @@ from keyloom.llm.common import cut, ship
 
 LENGTH = 50
 GRAM = 24
+#: Windows whose grams are hashed at a time.
+BLOCK = 1 << 15
 #: Bytes of text in a run, and sampled suffixes that a hash range is to hold.
 RUN_BYTES = 4 << 20
 RANGE_ROWS = 400_000
@@ -55,7 +57,7 @@ def _unpack(blob: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
-def gram_hashes(buf: bytes) -> np.ndarray:
+def gram_hashes(buf: bytes | memoryview) -> np.ndarray:
     """A hash of the GRAM bytes from every position on. The three words are read in place."""
     n = len(buf) - GRAM + 1
     words = [np.ndarray((n,), "<u8", buffer=buf, offset=o, strides=(1,)) for o in range(0, GRAM, 8)]
@@ -71,42 +73,54 @@ def gram_hashes(buf: bytes) -> np.ndarray:
 
 
 class Stretches:
-    """The stretches of a run's texts: key (the anchor's hash), start, n (windows), doc (index in the run)."""
+    """The stretches of a run's texts: key (the anchor's hash), start, n (windows), doc (index in the run).
 
-    def __init__(self, texts: list[bytes], length: int = LENGTH):
+    The texts are hashed in blocks that stay in the processor's cache. The grams' hashes themselves are kept on request.
+    """
+
+    def __init__(self, texts: list[bytes], length: int = LENGTH, keep_hashes: bool = False):
         self.buf = b"".join(texts)
         ends = np.cumsum([len(t) for t in texts], dtype=np.int64) if texts else np.zeros(0, np.int64)
         begins = ends - np.array([len(t) for t in texts], np.int64) if texts else ends
         self.begins, self.ends, self.length = begins, ends, length
-        span = length - GRAM + 1
-        if len(self.buf) < length:
+        total = max(0, len(self.buf) - length + 1)  # windows, those across documents included
+        if not total:
             self.key = np.zeros(0, np.uint64)
             self.start = self.n = self.doc = np.zeros(0, np.int64)
             return
-        self.hashes = low = gram_hashes(self.buf)
-        step = 1
-        while step * 2 <= span:
-            low = np.minimum(low[:-step], low[step:])
-            step *= 2
-        if step < span:
-            low = np.minimum(low[: len(low) - (span - step)], low[span - step :])
-        # Windows that lie within one document.
-        change = np.zeros(len(low) + 1, np.int32)
-        ok = ends - begins >= length
-        np.add.at(change, begins[ok], 1)
-        np.add.at(change, ends[ok] - length + 1, -1)
-        at = np.flatnonzero(np.cumsum(change[:-1]) > 0)
-        low = low[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (low[1:] != low[:-1]) | (at[1:] != at[:-1] + 1)
-        first = np.flatnonzero(new)
-        self.key, self.start = low[first], at[first]
-        self.n = np.diff(np.append(first, len(at)))
-        doc = np.searchsorted(ends, self.start, side="right")
-        # Two documents end to end have no window in between, but their indices of windows may still be consecutive.
-        self.doc = doc
-        cross = np.flatnonzero(self.start + self.n + length - 1 > ends[doc]) if len(doc) else []
-        assert not len(cross), "a stretch crosses documents"
+        span = length - GRAM + 1
+        self.hashes = np.empty(total + span - 1 if keep_hashes else 0, np.uint64)
+        keys, starts = [], []
+        before = None
+        view = memoryview(self.buf)
+        for lo in range(0, total, BLOCK):
+            hi = min(total, lo + BLOCK)
+            low = gram_hashes(view[lo : hi + length - 1])
+            if keep_hashes:
+                self.hashes[lo : lo + len(low)] = low
+            step = 1
+            while step * 2 <= span:
+                low = np.minimum(low[:-step], low[step:])
+                step *= 2
+            if step < span:
+                low = np.minimum(low[: len(low) - (span - step)], low[span - step :])
+            new = np.flatnonzero(low[1:] != low[:-1]) + 1
+            if before is None or low[0] != before:
+                new = np.concatenate(([0], new))
+            keys.append(low[new])
+            starts.append(new + lo)
+            before = low[-1]
+        key, start = np.concatenate(keys), np.concatenate(starts)
+        end = np.append(start[1:], total)
+        # Cut at the documents, and only windows that lie within one.
+        ok = np.flatnonzero(ends - begins >= length)
+        first = np.searchsorted(end, begins[ok], side="right")
+        count = np.searchsorted(start, ends[ok] - length, side="right") - first
+        doc = np.repeat(ok, count)
+        at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(doc))
+        self.key, self.doc = key[at], doc
+        self.start = np.maximum(start[at], begins[doc])
+        self.n = np.minimum(end[at], ends[doc] - length + 1) - self.start
 
     def anchors(self, which: np.ndarray) -> np.ndarray:
         """Where in its stretch the anchor is: the leftmost one of the last window."""
@@ -197,62 +211,61 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[bytes, in
             return b, a
         if known[a] != known[b]:
             return (a, b) if known[a] > known[b] else (b, a)
-        p = common_prefix(x, y, known[a])
-        first = p == len(x) if p == len(x) or p == len(y) else x[p] < y[p]
-        if p == len(x) == len(y):
-            first = a < b
-        win, lose = (a, b) if first else (b, a)
-        known[lose] = p
+        win, lose = (b, a) if y < x or y == x and b < a else (a, b)
+        known[lose] = common_prefix(x, y, known[a])
         return win, lose
 
-    best = list(range(size))
+    row = list(range(size))
     level = size
-    row = best
     while level > 1:
         level //= 2
-        nxt = []
-        for i in range(level):
-            w, lose = play(row[2 * i], row[2 * i + 1])
-            loser[level + i] = lose
-            nxt.append(w)
-        row = nxt
+        played = [play(row[2 * i], row[2 * i + 1]) for i in range(level)]
+        loser[level : 2 * level] = [lose for _, lose in played]
+        row = [win for win, _ in played]
     winner = row[0]
-    while head[winner] is not None:
+    while (x := head[winner]) is not None:
         strings, shared = runs[winner]
-        yield head[winner], winner, at[winner], known[winner]
-        at[winner] += 1
         i = at[winner]
+        yield x, winner, i, known[winner]
+        at[winner] = i = i + 1
         if i < len(strings):
-            head[winner], known[winner] = strings[i], shared[i]
+            x, p = strings[i], shared[i]
+            head[winner], known[winner] = x, p
         else:
+            x, p = None, 0
             head[winner] = None
+        # Up to the root. Most games are told by the known prefixes alone.
         node = (winner + size) >> 1
         while node:
-            winner, loser[node] = play(winner, loser[node])
+            other = loser[node]
+            y = head[other]
+            if y is not None:
+                q = known[other]
+                if x is None or q > p:
+                    loser[node], winner, x, p = winner, other, y, q
+                elif q == p:
+                    winner, loser[node] = play(winner, other)
+                    x, p = head[winner], known[winner]
             node >>= 1
 
 
-def _ids(column) -> list[int]:
-    return [NO_ID if x is None else x for x in column.to_pylist()]
-
-
 def _packed(docs: DataFrame, run_bytes: int) -> DataFrame:
     """Documents in runs: run_id (from the content), ids, and payload (the texts and ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        ids: list[int] = []
+        ids: list[int | None] = []
         texts: list[bytes] = []
         size, part = 0, 0
 
         def out():
-            seed = xxhash.xxh3_64_intdigest(b"\0".join([*map(b"%d".__mod__, ids), str(part).encode(), b"".join(texts)]))
+            seed = xxhash.xxh3_64_intdigest(b"\0".join([repr(ids).encode(), str(part).encode(), b"".join(texts)]))
             row = [pa.array([seed - (1 << 63)], pa.int64()), pa.array([size], pa.int64()), pa.array([_pack((ids, texts))], pa.binary())]
             return pa.RecordBatch.from_arrays(row, ["run_id", "size", "payload"])
 
         for batch in batches:
-            for i, t in zip(_ids(batch.column(0)), batch.column(1), strict=True):
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids.append(i)
                 texts.append(t.as_py() or b"")
                 size += len(texts[-1])
@@ -265,6 +278,11 @@ def _packed(docs: DataFrame, run_bytes: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("t")).mapInArrow(run, "run_id long, size long, payload binary")
 
 
+def _order(ids: list[int | None]) -> np.ndarray:
+    """Ids for comparison: null as NO_ID."""
+    return np.array([NO_ID if i is None else i for i in ids], np.int64)
+
+
 def _split(values: np.ndarray, of_range: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Slices of sorted values by range."""
     if len(values):
@@ -326,14 +344,14 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, run_bytes: int = RUN_B
         for batch in batches:
             for run_id, blob, said in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 ids, texts = _unpack(blob.as_py())
-                s = Stretches(texts, length)
+                s = Stretches(texts, length, keep_hashes=True)
                 distinct, _, place = s.keys()
                 twice = np.zeros(len(distinct), bool)
                 said = {x["part"]: x["blob"] for x in said.as_py() or []}
                 for r, part in _split(distinct, range_of(distinct, ranges)):
                     twice[part] = np.unpackbits(_unpack(said[r]), count=part.stop - part.start).astype(bool)
                 which = np.flatnonzero(twice[place]) if len(place) else np.zeros(0, np.int64)
-                ids = np.array(ids, np.int64)
+                ids = _order(ids)
                 content = s.content(which)
                 # One entry for equal stretches: that of the smallest document.
                 order = np.lexsort((ids[s.doc[which]], content))
@@ -358,37 +376,31 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, run_bytes: int = RUN_B
         for blob in table.column("blob"):
             tails, lengths, shared, c, ids = _unpack(blob.as_py())
             runs_.append((front_decode(tails, lengths.tolist(), shared.tolist()), shared.tolist()))
-            content.append(c)
+            content.append(c.tolist())
             owner.append(ids.tolist())
-        news: list[list[tuple[int, list[int]]]] = [[] for _ in run_ids]
+        news: list[list[tuple[int, int, int | list[int]]]] = [[] for _ in run_ids]
 
         def settle(group: list[tuple[bytes, int, list[tuple[int, int]]]]) -> None:
             """Stretches with one anchor: (string, smallest document, places)."""
+            key = int.from_bytes(group[0][0][:8])
             if len(group) == 1:
-                string, least, places = group[0]
+                _, least, places = group[0]
                 for r, i in places:
                     if owner[r][i] > least:
-                        news[r].append((int(content[r][i]), [least]))
+                        news[r].append((key, content[r][i], least))
                 return
+            # From the smallest document on: the first to name a window is its smallest.
             seen: dict[bytes, int] = {}
-            texts = []
-            for string, least, _ in group:
+            for string, least, places in sorted(group, key=lambda g: g[1]):
                 a = int.from_bytes(string[-4:])
                 body = string[8:-4]
                 text = body[len(body) - a :] + body[: len(body) - a]
-                texts.append(text)
-                for j in range(len(text) - length + 1):
-                    w = text[j : j + length]
-                    if seen.get(w, NO_ID) >= least:
-                        seen[w] = least
-            for text, (_, _, places) in zip(texts, group, strict=True):
-                windows = [seen[text[j : j + length]] for j in range(len(text) - length + 1)]
+                windows = [seen.setdefault(text[j : j + length], least) for j in range(len(text) - length + 1)]
                 low = min(windows)
-                if low == max(windows):
-                    windows = [low]
+                said = low if low == max(windows) else windows
                 for r, i in places:
                     if owner[r][i] > low:
-                        news[r].append((int(content[r][i]), windows))
+                        news[r].append((key, content[r][i], said))
 
         group: list[tuple[bytes, int, list[tuple[int, int]]]] = []
         for string, r, i, shared in merge(runs_):
@@ -418,27 +430,31 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, run_bytes: int = RUN_B
             for blob, said in zip(batch.column(1), batch.column(2), strict=True):
                 ids, texts = _unpack(blob.as_py())
                 s = Stretches(texts, length)
-                own = np.array(ids, np.int64)
-                # The smallest document known for each stretch, or for each of its windows: in this run, then elsewhere.
-                content = s.content(np.arange(len(s.key)))
+                own = _order(ids)
+                told = [x for blob in said.as_py() or [] for x in _unpack(blob)]
+                # The stretches that can repeat: several documents of this run have the anchor, or there is news of it.
+                short, several, place = s.keys()
+                several[np.searchsorted(short, np.array([x[0] >> (64 - KEY_BITS) for x in told], np.uint64))] = True
+                which = np.flatnonzero(several[place]) if len(place) else np.zeros(0, np.int64)
+                # The smallest document known for each of them, or for each of its windows: in this run, then elsewhere.
+                content = s.content(which)
                 distinct, place = np.unique(content, return_inverse=True)
                 least = np.full(len(distinct), NO_ID, np.int64)
-                np.minimum.at(least, place, own[s.doc])
+                np.minimum.at(least, place, own[s.doc[which]])
                 by_window: dict[int, list[int]] = {}
-                for x in said.as_py() or []:
-                    for c, windows in _unpack(x):
-                        if len(windows) == 1:
-                            at = np.searchsorted(distinct, np.uint64(c))
-                            least[at] = min(least[at], windows[0])
-                        else:
-                            by_window[c] = windows
+                for _, c, low in told:
+                    if isinstance(low, list):
+                        by_window[c] = low
+                    else:
+                        at = np.searchsorted(distinct, np.uint64(c))
+                        least[at] = min(least[at], low)
                 gone = np.zeros(len(s.buf) + 1, np.int32)
-                whole = np.flatnonzero(least[place] < own[s.doc]) if len(place) else np.zeros(0, np.int64)
+                whole = which[least[place] < own[s.doc[which]]]
                 np.add.at(gone, s.start[whole], 1)
                 np.add.at(gone, s.start[whole] + s.n[whole] + length - 1, -1)
-                if by_window:
-                    for i in np.flatnonzero(np.isin(content, np.array(list(by_window), np.uint64))).tolist():
-                        hit = s.start[i] + np.flatnonzero(np.array(by_window[int(content[i])], np.int64) < own[s.doc[i]])
+                for i, c in zip(which.tolist(), content.tolist(), strict=True):
+                    if c in by_window:
+                        hit = s.start[i] + np.flatnonzero(np.array(by_window[c], np.int64) < own[s.doc[i]])
                         np.add.at(gone, hit, 1)
                         np.add.at(gone, hit + length, -1)
                 gone = np.cumsum(gone[:-1]) > 0
@@ -448,7 +464,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, run_bytes: int = RUN_B
                 for i, lo, hi in zip(ids, s.begins.tolist(), s.ends.tolist(), strict=True):
                     g = gone[lo:hi]
                     left = buf[lo:hi][~g].tobytes()
-                    rows["doc_id"].append(None if i == NO_ID else i)
+                    rows["doc_id"].append(i)
                     rows["n_bytes"].append(hi - lo)
                     rows["n_removed"].append(hi - lo - len(left))
                     rows["n_spans"].append(int((edges[lo + 1 : hi] == 1).sum()) + bool(len(g) and g[0]))
