@@ -1,7 +1,7 @@
 """Line dedup by a segment-partition edit join. DataFrame operations only.
 
-Equal lines, and lines of EDIT_CHARS characters or more within TAU edits of each other, form classes; of every class only
-the first line stays. If a line is cut into
+Equal lines form classes, and so do lines within TAU edits of each other, one edit for every EDIT_CHARS characters of the
+shorter at most; of every class only the first line stays. If a line is cut into
 TAU + 1 segments, TAU edits leave one segment whole, so the other line has it as a substring, and its length and the
 number of edits left bound where. Lines are indexed by their segments, probed by the substrings of those lengths at
 those places (the multi-match-aware selection: 12 a line for 2 edits), and joined by equality. Pairs are verified by the
@@ -22,16 +22,16 @@ from keyloom.llm.common import SPACE, cut, let
 from keyloom.llm.components import components
 
 TAU = 2
-#: Shorter lines, blank ones, are left alone. Lines under EDIT_CHARS class by equality only: two edits make another word of them.
-MIN_CHARS = 1
-EDIT_CHARS = 32
+#: Characters for each edit allowed: lines under 16 class by equality only, for an edit makes another word of them, lines
+#: under 32 by one edit. Blank lines are left alone.
+EDIT_CHARS = 16
 #: The letters whose counts, modulo 16, are compared.
 LETTERS = "etaoinshrdlucmgp"
 #: Candidate lines are looked up by broadcast up to so many, by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 
 
-def _lines(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
+def _lines(docs: DataFrame, shortest: int = 1) -> DataFrame:
     """The lines of `shortest` characters or more: _d, _t (hash of the text: rows that repeat an id with another text are other documents), _i, line, _h, _g (two hashes)."""
     split = docs.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"), F.posexplode(F.split("text", "\n")).alias("_i", "_line"))
     split = split.where(F.length("_line") >= shortest).withColumn("_line", F.trim("_line", F.lit(SPACE))).where(F.length("_line") >= shortest)
@@ -66,7 +66,7 @@ def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
     return start.cast("int"), (base + F.when(F.lit(i) >= short, 1).otherwise(0)).cast("int")
 
 
-def _keys(line: Column, length: Column, tau: int) -> tuple[Column, Column]:
+def _keys(line: Column, length: Column, tau: int) -> tuple[list[Column], list[Column]]:
     """Hashes of the tau + 1 segments that index a line, and of the other substrings that probe for lines as long or
     shorter. (Probing for lines as long at the segments' own places is the index itself.)"""
     index, probe = [], []
@@ -80,7 +80,7 @@ def _keys(line: Column, length: Column, tau: int) -> tuple[Column, Column]:
             for shift in range(max(-i, shorter - (tau - i)), min(i, shorter + tau - i) + 1):
                 if shorter or shift:
                     probe.append(F.xxhash64(F.lit(i), other, F.substring(line, (start + shift).cast("int"), size)))
-    return F.array(*index), F.array(*probe)
+    return index, probe
 
 
 def edit_distance(a: Column, b: Column, tau: int = TAU) -> Column:
@@ -141,12 +141,14 @@ def _near_lines(lines: DataFrame, tau: int) -> DataFrame:
     """_h of the lines that share an index key with another line: those that can have a partner at all.
 
     Most lines can't, and only hashes are needed to tell, so texts are neither shuffled nor looked at closely for them.
+    Lines are counted once however often they occur. Numbers alone are aggregated, which needs no sorting.
     """
     index, probe = _keys(F.col("_line"), F.length("_line"), tau)
-    keyed = lines.select("_h", "_g", F.concat(index, probe).alias("_keys"))
-    # One row a line. Two lines with one hash, should that happen, are left alone.
-    single = keyed.groupBy("_h").agg(F.first("_keys").alias("_keys"), F.min("_g").alias("_g0"), F.max("_g").alias("_g1")).where("_g0 = _g1")
-    each = single.select("_h", F.posexplode("_keys").alias("_p", "_k"))
+    keys = {f"_{i}": k for i, k in enumerate([*index, *probe])}
+    keyed = lines.select("_h", "_g", *[k.alias(c) for c, k in keys.items()])
+    # One row a line. Where two lines have one hash, neither has partners.
+    single = keyed.groupBy("_h").agg(*[F.min(c).alias(c) for c in keys], F.min("_g").alias("_g0"), F.max("_g").alias("_g1")).where("_g0 = _g1")
+    each = single.select("_h", F.posexplode(F.array(*keys)).alias("_p", "_k"))
     same = W.partitionBy("_k")
     met = each.select("_h", F.min("_h").over(same).alias("_lo"), F.max("_h").over(same).alias("_hi"), F.min("_p").over(same).alias("_first"))
     return met.where((F.col("_lo") != F.col("_hi")) & (F.col("_first") <= tau)).select("_h").distinct()
@@ -160,36 +162,50 @@ def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def line_links(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """a, b (hashes, a < b): all pairs of different lines of EDIT_CHARS characters or more within tau edits."""
+    """a, b (hashes, a < b): all pairs of different lines within tau edits, one edit for every EDIT_CHARS characters of the
+    shorter at most. Null texts have no lines; an empty table has no pairs."""
     lines = _lines(docs, EDIT_CHARS)
     texts = _texts(lines, cut(_near_lines(lines, tau), "line-ids"))
     index, probe = _keys(F.col("_line"), F.length("_line"), tau)
-    keyed = cut(texts.select("_h", _letter_counts(F.col("_line")).alias("_c"), index.alias("_index"), probe.alias("_probe")), "line-keys")
+    keyed = cut(texts.select("_h", _letter_counts(F.col("_line")).alias("_c"), F.array(*index).alias("_index"), F.array(*probe).alias("_probe")), "line-keys")
     left = keyed.select(F.col("_h").alias("_ha"), F.col("_c").alias("_ca"), F.explode("_index").alias("_ka"))
     right = keyed.select(F.col("_h").alias("_hb"), F.col("_c").alias("_cb"), F.explode(F.concat("_index", "_probe")).alias("_kb"))
     close = (F.col("_ha") != F.col("_hb")) & (_letters_apart(F.col("_ca"), F.col("_cb")) <= 2 * tau)
     joined = left.join(right, (F.col("_ka") == F.col("_kb")) & close)
     pairs = cut(joined.select(F.least("_ha", "_hb").alias("a"), F.greatest("_ha", "_hb").alias("b")).distinct(), "line-pairs")
     both = pairs.join(texts.select(F.col("_h").alias("a"), F.col("_line").alias("_la")), "a").join(texts.select(F.col("_h").alias("b"), F.col("_line").alias("_lb")), "b")
-    near = F.abs(F.length("_la") - F.length("_lb")) <= tau
-    return cut(both.where(F.when(near, edit_distance(F.col("_la"), F.col("_lb"), tau) <= tau).otherwise(F.lit(False))).select("a", "b"), "line-links")
+    shorter = F.least(F.length("_la"), F.length("_lb"))
+    allowed = F.least(F.lit(tau), F.floor(shorter / EDIT_CHARS))
+    near = F.greatest(F.length("_la"), F.length("_lb")) - shorter <= allowed
+    return cut(both.where(F.when(near, edit_distance(F.col("_la"), F.col("_lb"), tau) <= allowed).otherwise(F.lit(False))).select("a", "b"), "line-links")
 
 
 def repeated_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """docs(doc_id, text, ...) -> _d, _t (document), _i (line, from 0), class_doc, class_line, class_size, n_links: every
-    line of a class of two lines or more, with the class's first line, and to how many different texts its text links."""
+    line of a class of two lines or more, with the class's first line, and to how many different texts its text links.
+
+    Null texts have no lines, a null doc_id comes after all others, rows equal in id and text are one document each; an
+    empty table gives an empty result.
+    """
     links = line_links(docs, tau)
     linked = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
-    lines = _lines(docs).select("_d", "_t", "_i", "_h", "_g")
-    per_line = lines.groupBy("_h").agg(F.min(F.struct(F.col("_d").isNull().alias("null"), "_d", "_i", "_t")).alias("_f"), F.count(F.lit(1)).alias("_size"), F.min("_g").alias("_g0"), F.max("_g").alias("_g1"))
-    per_line = per_line.where("_g0 = _g1").join(linked.withColumnRenamed("node", "_h"), "_h", "left").withColumn("_class", F.coalesce("component", "_h"))
-    named = per_line.groupBy("_class").agg(F.min("_f").alias("_f"), F.sum("_size").alias("class_size")).where("class_size > 1")
-    of = per_line.select("_h", "_class").join(named, "_class").join(degree, "_h", "left")
-    of = cut(of.select("_h", "_f", "class_size", F.coalesce("_n", F.lit(0)).alias("n_links")), "line-classes")
-    return lines.join(of, "_h").select(
-        "_d", "_t", "_i", "_h", F.col("_f._d").alias("class_doc"), F.col("_f._i").alias("class_line"), F.col("_f._t").alias("_ft"), "class_size", "n_links"
-    )
+    of_links = degree.join(linked.withColumnRenamed("node", "_h"), "_h", "left").select(F.col("_h").alias("_lh"), F.coalesce("component", "_h").alias("component"), "_n")
+    of_links = cut(of_links, "line-linked")
+    # The lines' numbers, once: texts are parsed for them no more.
+    lines = cut(_lines(docs).select("_d", "_t", "_i", "_h", "_g"), "lines")
+    # Equal lines are told by two hashes. Only lines that repeat or have links go on; they are counted without sorting.
+    per_line = lines.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_size"))
+    per_line = per_line.join(of_links, F.col("_h") == F.col("_lh"), "left").where((F.col("_size") > 1) | F.col("_lh").isNotNull())
+    # Linked lines are one class by their component; a line without links is its own.
+    own = F.col("_lh").isNull()
+    klass = F.struct(F.coalesce("component", "_h").alias("c"), F.when(own, F.col("_g")).otherwise(F.lit(0)).alias("g"), own.alias("own"))
+    per_line = per_line.select("_h", "_g", klass.alias("_class"), F.coalesce("_n", F.lit(0)).alias("n_links"))
+    # Joined as two numbers: lines of very many copies are a skewed side, which adaptive execution splits.
+    found = cut(lines.join(per_line, ["_h", "_g"]).select("_d", "_t", "_i", "_class", "n_links"), "line-classes")
+    first = F.min(F.struct(F.col("_d").isNull().alias("null"), "_d", "_i", "_t")).alias("_f")
+    named = found.groupBy("_class").agg(first, F.count(F.lit(1)).alias("class_size")).where("class_size > 1")
+    return found.join(named, "_class").select("_d", "_t", "_i", F.col("_f._d").alias("class_doc"), F.col("_f._i").alias("class_line"), F.col("_f._t").alias("_ft"), "class_size", "n_links")
 
 
 def _first_of_class() -> Column:
@@ -201,9 +217,9 @@ def line_report(docs: DataFrame, tau: int = TAU) -> DataFrame:
     (line, class_doc, class_line, class_size of each line that has others in its class), for every document.
 
     A line is a run of text between line feeds, compared without white space around it; blank lines are left alone. A
-    class is what links of tau edits or fewer reach (between lines of EDIT_CHARS characters or more; shorter lines class
-    with their equals only), and its first line is that of the smallest doc_id
-    (null last) and then the smallest number. Null texts have no lines. Rows equal in id and text share one report line
+    class is what links of tau edits or fewer reach (one edit for every EDIT_CHARS characters of the shorter line at most, so
+    that short lines class with their equals only), and its first line is that of the smallest doc_id (null last) and
+    then the smallest number. Null texts have no lines. Rows equal in id and text share one report line
     each; an empty table gives an empty result. Columns of other names are ignored.
     """
     found = repeated_lines(docs, tau)
@@ -223,7 +239,8 @@ def line_report(docs: DataFrame, tau: int = TAU) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, tau: int = TAU, broadcast_rows: int = 300_000) -> DataFrame:
     """docs with repeated lines removed from the text, and all their columns. A document that lost lines and has only blank
-    ones left goes; one that lost nothing stays whatever it is."""
+    ones left goes; one that lost nothing stays whatever it is. Null and empty texts stay, null ids are kept, rows that
+    repeat an id with another text are told apart by the text; columns of any name are kept; an empty table stays empty."""
     found = repeated_lines(docs, tau).where(~_first_of_class())
     gone = found.groupBy("_d", "_t").agg(F.collect_set("_i").alias("_gone")).withColumnRenamed("_d", "_gd")
     gone = cut(gone, "line-gone")
