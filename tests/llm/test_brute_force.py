@@ -220,6 +220,69 @@ def test_boilerplate_without_markup(spark):
     assert got[9].startswith("This site") and got[10].startswith("This site")  # an article's own words, and another host's only page
 
 
+def brute_main_text(rows, chosen, length=8):
+    """The rules of main_texts, run by run, for pages given as (id, host, marked, blocks)."""
+    groups, out = collections.defaultdict(list), {}
+    for r in rows:
+        groups[r[1], r[2]].append(r)
+    for (_, marked), group in groups.items():
+        on = collections.defaultdict(set)
+        for i, _, _, texts in group:
+            w = " ".join(texts).split()
+            for j in range(len(w) - length + 1):
+                on[tuple(w[j : j + length])].add(i)
+        need = max(3, -(-len(group) // 2)) if marked else 2
+        for i, _, _, texts in group:
+            w = " ".join(texts).split()
+            cover = [chosen and any(len(on[tuple(w[j : j + length])]) >= need for j in range(max(0, k - length + 1), min(k, len(w) - length) + 1)) for k in range(len(w))]
+            kept, gone, at = [], 0, 0
+            for t in texts:
+                n = len(t.split())
+                if 2 * sum(cover[at : at + n]) >= n:
+                    gone += n
+                else:
+                    kept.append(t)
+                at += n
+            out[i] = "\n".join(texts if marked and 2 * gone >= at else kept)
+    return out
+
+
+def host_pages(seed):
+    """Pages of two hosts, marked and not, with a template's blocks, quotes of other pages and whole copies."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 6)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    share, box = {h: prose(14) for h in "ab"}, {h: prose(9) for h in "ab"}
+    rows = []
+    for i in range(90):
+        h, marked = rng.choice("aab"), rng.random() < 0.6
+        texts = [prose(rng.randint(1, 40)) for _ in range(rng.randint(1, 4))]
+        if rng.random() < 0.8:
+            texts.insert(rng.randrange(len(texts) + 1), share[h])
+        if rng.random() < 0.3:
+            texts.append(box[h])
+        if rows and rng.random() < 0.2:
+            texts.append(rng.choice(rng.choice(rows)[3]))
+        if rows and rng.random() < 0.1:
+            texts = list(rng.choice(rows)[3])
+        rows.append((i, h, marked, texts))
+    return rows
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 700])
+def test_main_texts_equal_brute_force(spark, chunk):
+    rows = host_pages(3)
+    html = [(i, f"http://{h}.example/{i}", "<nav>Home</nav>" + ("<article>" if m else "") + "".join(f"<p>{t}" for t in texts)) for i, h, m, texts in rows]
+    found = pages.main_texts(spark.createDataFrame(html, "page_id long, url string, html string").repartition(3), chunk_chars=chunk)
+    got = {r["page_id"]: r["text"] for r in found.collect()}
+    assert got == brute_main_text(rows, True)
+    # Without the suffix arrays' runs, marked pages and others come out otherwise.
+    plain = brute_main_text(rows, False)
+    assert {m for i, _, m, _ in rows if got[i] != plain[i]} == {True, False}
+    # With chunks this small a run is told across them: within one alone too few pages have it.
+    assert len({h for _, h, _, _ in rows}) == 2
+
+
 # SimHash
 
 
