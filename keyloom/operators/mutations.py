@@ -1,67 +1,87 @@
 """Keyed mutations as one relational query over a log.
 
-The log has seq (unique, ascending), op, the key columns, key_to for range deletes, and the record. Per key the last
+The log has seq (unique, ascending), op, the key columns, the far end of range deletes, and the record. Per key the last
 delete that reaches it (its own, a range's or a clear) resets it; what remains is the last replace, or the row of the
 base if no delete reached it, or the first insert-or-ignore. That equals applying the log in order.
+
+Range deletes are a tree over the places of their ends: a range covers a few nodes a level, every place between ends has
+one ancestor a level, so the last range over a place is an equality join and a maximum. Keys find their place among the
+ends as floor keys do. Nothing of it is gathered, whatever the number of ranges.
 """
 
 from __future__ import annotations
 
-import heapq
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.operators.navigation import find_prev
+from keyloom.operators.navigation import find_prev, positions
 from keyloom.operators.table import Table, UniqueViolation, unique_violations
 
 REPLACE, INSERT_OR_IGNORE, DELETE, DELETE_RANGE, CLEAR = "REPLACE", "INSERT_OR_IGNORE", "DELETE", "DELETE_RANGE", "CLEAR"
-#: Range deletes of one log that are resolved to disjoint spans on the driver.
-MAX_RANGES = 100_000
-
-
-def _spans(ranges: list[tuple]) -> list[tuple]:
-    """(low, high, seq) ranges, ends included -> disjoint (start, start_in, end, end_in, seq) with the highest seq.
-
-    Points are (value, 0) for "from the value on" and (value, 1) for "from behind it"."""
-    events = sorted({(x, side) for lo, hi, _ in ranges for x in (lo, hi) for side in (0, 1)})  # each end is a span of its own
-    starts = sorted(ranges, key=lambda r: r[0])
-    active: list[tuple] = []
-    out, i = [], 0
-    for at, nxt in zip(events, events[1:], strict=False):
-        while i < len(starts) and (starts[i][0], 0) <= at:
-            lo, hi, seq = starts[i]
-            heapq.heappush(active, (-seq, hi))
-            i += 1
-        while active and (active[0][1], 1) <= at:
-            heapq.heappop(active)
-        if active:
-            out.append((*at, *nxt, -active[0][0]))
-    return out
-
-
-def _range_resets(keys: DataFrame, key: str, ops: DataFrame) -> DataFrame | None:
-    """key, _range: the last range delete that covers each key; None if there is none at all."""
-    rows = ops.where(F.col("op") == DELETE_RANGE).select(F.col(f"`{key}`"), "key_to", "seq").where(F.col(f"`{key}`") <= F.col("key_to")).limit(MAX_RANGES + 1).collect()
-    if not rows:
+#: Levels of the tree with fewer nodes than two to this power are broadcast: all places meet in few of them.
+TOP_LEVELS = 13
+
+
+def _key(keys: list[str], suffix: str = "") -> Column:
+    """The key as one value: compared column by column."""
+    return F.col(f"`{keys[0]}{suffix}`") if len(keys) == 1 else F.struct(*[F.col(f"`{k}{suffix}`").alias(k) for k in keys])
+
+
+def _far_end(ops: DataFrame, keys: list[str]) -> Column:
+    """The column key_to (of a single key, or a struct), or columns named as the key's with _to."""
+    if "key_to" in ops.columns:
+        return F.col("key_to") if len(keys) == 1 else F.struct(*[F.col("key_to").getField(k).alias(k) for k in keys])
+    return _key(keys, "_to")
+
+
+def _shifted(x: Column, by: Column) -> Column:
+    return F.call_function("shiftright", x, by)
+
+
+def _range_resets(every: DataFrame, keys: list[str], ops: DataFrame) -> DataFrame | None:
+    """The key columns, _range: the last range delete that covers each key; None if there is none at all. Ranges with a
+    null in an end, or whose ends are the wrong way round, cover nothing."""
+    ranges = ops.where(F.col("op") == DELETE_RANGE)
+    if "key_to" not in ops.columns and not all(f"{k}_to" in ops.columns for k in keys):
+        if not ranges.isEmpty():
+            raise ValueError("range deletes need their far end: key_to, or the key columns with _to")
+        return None
+    ranges = ranges.select(_key(keys).alias("lo"), _far_end(ops, keys).alias("hi"), "seq")
+    parts = [F.col(f"{end}.`{k}`") if len(keys) > 1 else F.col(end) for end in ("lo", "hi") for k in keys]
+    for part in parts:
+        ranges = ranges.where(part.isNotNull())
+    ranges = ranges.where("lo <= hi")
+    ends = positions(ranges.select(F.explode(F.array("lo", "hi")).alias("e")).distinct(), F.col("e"), "at")
+    count = ends.count()
+    if not count:
         return None
-    if len(rows) > MAX_RANGES:
-        raise ValueError(f"more than {MAX_RANGES} range deletes in one log: resolve it in parts")
-    spans = _spans([tuple(r) for r in rows])
-    spark = keys.sparkSession
-    kind = keys.schema[key].dataType.simpleString()
-    table = spark.createDataFrame([(lo, bool(a), hi, bool(b), seq) for lo, a, hi, b, seq in spans], f"lo {kind}, lo_open boolean, hi {kind}, hi_closed boolean, _range long")
-    # The spans that start at or before a key: one starting at it, one behind it; take what covers the key.
-    found = find_prev(keys, key, table, "lo", "_lo")
-    hit = found.join(F.broadcast(table), F.col("_lo") == F.col("lo"))
-    k = F.col(f"`{key}`")
-    inside = F.when(F.col("lo_open"), k > F.col("lo")).otherwise(True) & F.when(F.col("hi_closed"), k <= F.col("hi")).otherwise(k < F.col("hi"))
-    return hit.where(inside).groupBy(key).agg(F.max("_range").alias("_range"))
+
+    # Place 2 i is the end numbered i, place 2 i + 1 what lies behind it.
+    levels = (2 * count - 1).bit_length()
+    low, high = (ends.select(F.col("e").alias(f"e_{x}"), F.col("at").alias(x)) for x in ("a", "b"))
+    spans = ranges.join(low, F.col("lo") == F.col("e_a")).join(high, F.col("hi") == F.col("e_b"))
+    spans = spans.select((F.col("a") * 2).alias("a"), (F.col("b") * 2 + 1).alias("b"), "seq", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("k"))
+    width = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k"))
+    spans = spans.select("k", "seq", _shifted(F.col("a") + width - 1, F.col("k")).alias("a"), _shifted(F.col("b"), F.col("k")).alias("b")).where("a < b")
+    nodes = spans.select("k", "seq", F.explode(F.array(F.when(F.col("a") % 2 == 1, F.col("a")), F.when(F.col("b") % 2 == 1, F.col("b") - 1))).alias("node"))
+    nodes = nodes.where("node is not null").groupBy("k", "node").agg(F.max("seq").alias("seq"))
+    top = max(0, levels - TOP_LEVELS)
+    places = every.sparkSession.range(2 * count).select(F.col("id").alias("place"), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("k"))
+    places = places.withColumn("node", _shifted(F.col("place"), F.col("k")))
+    over = places.where(F.col("k") >= top).join(F.broadcast(nodes.where(F.col("k") >= top)), ["k", "node"])
+    if top:
+        over = over.unionByName(places.where(F.col("k") < top).join(nodes.where(F.col("k") < top), ["k", "node"]))
+    last = over.groupBy("place").agg(F.max("seq").alias("_range"))
+
+    found = find_prev(every.select(*keys, _key(keys).alias("_key")), "_key", ends, "e", "_floor")
+    found = found.join(ends, F.col("_floor") == F.col("e")).withColumn("place", F.col("at") * 2 + F.when(F.col("_key") == F.col("e"), 0).otherwise(1))
+    return found.join(last, "place").select(*keys, "_range")
 
 
 def resolve(base: DataFrame, ops: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
-    """The table after a log: the columns of base. ops has seq, op, the columns of base, and key_to if it deletes ranges
-    (of single keys). An unknown op is an error at run time; null keys take no part."""
+    """The table after a log: the columns of base. ops has seq, op, the columns of base and, if it deletes ranges, their
+    far ends: key_to (a struct for composite keys), or the key columns with _to. Both ends are included. An unknown op is
+    an error at run time, a log that deletes ranges without far ends one at once; null keys take no part."""
     record = [c for c in base.columns if c not in keys]
     ops = ops.withColumnRenamed(seq, "seq")
     known = F.col("op").isin(REPLACE, INSERT_OR_IGNORE, DELETE, DELETE_RANGE, CLEAR)
@@ -80,11 +100,10 @@ def resolve(base: DataFrame, ops: DataFrame, keys: list[str], seq: str = "seq")
     )
     every = base.select(*keys, row.alias("_base")).join(per_key, keys, "full_outer")
     resets = [F.col("_delete"), F.lit(cleared).cast("long")]
-    if "key_to" in ops.columns and len(keys) == 1:
-        ranges = _range_resets(every.select(keys[0]), keys[0], ops)
-        if ranges is not None:
-            every = every.join(ranges, keys, "left")
-            resets.append(F.col("_range"))
+    ranges = _range_resets(every.select(*keys).dropna(), keys, ops)
+    if ranges is not None:
+        every = every.join(ranges, keys, "left")
+        resets.append(F.col("_range"))
     every = every.withColumn("_reset", F.greatest(*resets))  # greatest() passes over nulls
     inserts = points.where(of(INSERT_OR_IGNORE)).join(every.select(*keys, "_reset"), keys).where("_reset is null or seq > _reset")
     first = inserts.groupBy(*keys).agg(F.min_by(row, "seq").alias("_inserted"))
@@ -109,16 +128,26 @@ def check_unique(table: Table, df: DataFrame) -> None:
             raise UniqueViolation(index.name, [bad[0][m] for m in index.members])
 
 
-def upsert(table: Table, rows: DataFrame) -> Table:
-    """Rows replace those of the same key. One shuffle by key; the last of equal keys is any of them."""
-    after = table.df.join(rows.select(*table.keys).distinct(), table.keys, "left_anti").unionByName(rows.select(*table.df.columns).dropDuplicates(table.keys))
+def _one_a_key(table: Table, rows: DataFrame, seq: str | None, last: bool) -> DataFrame:
+    """Of rows with one key the last or the first by seq; without seq a repeated key is an error."""
+    record = F.struct(*[f"`{c}`" for c in table.df.columns])
+    if seq is None:
+        if twice := rows.groupBy(*table.keys).count().where("count > 1").head(1):
+            raise ValueError(f"key {[twice[0][k] for k in table.keys]!r} comes twice: say in which order with seq")
+        return rows.select(*table.df.columns)
+    return rows.groupBy(*table.keys).agg((F.max_by if last else F.min_by)(record, F.col(f"`{seq}`")).alias("_row")).select("_row.*")
+
+
+def upsert(table: Table, rows: DataFrame, seq: str | None = None) -> Table:
+    """Rows replace those of the same key; of rows with one key the last by seq."""
+    after = table.df.join(rows.select(*table.keys), table.keys, "left_anti").unionByName(_one_a_key(table, rows, seq, last=True))
     check_unique(table, after)
     return table.with_df(after)
 
 
-def insert_or_ignore(table: Table, rows: DataFrame) -> Table:
-    """Rows whose key is not there yet."""
-    after = table.df.unionByName(rows.select(*table.df.columns).dropDuplicates(table.keys).join(table.df.select(*table.keys), table.keys, "left_anti"))
+def insert_or_ignore(table: Table, rows: DataFrame, seq: str | None = None) -> Table:
+    """Rows whose key is not there yet; of rows with one key the first by seq."""
+    after = table.df.unionByName(_one_a_key(table, rows, seq, last=False).join(table.df.select(*table.keys), table.keys, "left_anti"))
     check_unique(table, after)
     return table.with_df(after)
 

@@ -12,7 +12,7 @@ from keyloom.functions import semantics as S
 from keyloom.operators.keyquery import KeyQuery
 from keyloom.plans import lower as L
 from keyloom.plans.builder import QueryBuilder
-from keyloom.plans.ir import And, Predicate, Query, Sort
+from keyloom.plans.ir import And, Or, Predicate, Query, Sort
 from keyloom.plans.planner import Index, Planner
 
 
@@ -244,6 +244,14 @@ class Table:
     def count_by_index(self, name: str, *values) -> int:
         return self.find_by_index(name, *values).count()
 
+    def find_by_all(self, *looks: tuple) -> DataFrame:
+        """Rows that several lookups (index name, values ...) all find: one filter, one scan."""
+        return L.lower(self.df, self.keys, Query(And(tuple(self._index_query(name, list(values)).filter for name, *values in looks))))
+
+    def find_by_any(self, *looks: tuple) -> DataFrame:
+        """Rows that one of several lookups (index name, values ...) finds: one filter, one scan."""
+        return L.lower(self.df, self.keys, Query(Or(tuple(self._index_query(name, list(values)).filter for name, *values in looks))))
+
     def intersect_keys(self, *parts: DataFrame) -> DataFrame:
         """Keys that are in all of several sets."""
         out = parts[0].select(*self.keys).distinct()

@@ -153,6 +153,22 @@ def from_query_string(text: str, schema: T.StructType, keys: list[str]) -> Query
     )
 
 
+def browse(text: str, schema: T.StructType, keys: list[str]) -> Query:
+    """fromKey, toKey, direction, limit and offset only: a page in key order. A bound that is no key is as good as none."""
+    said = {name.lower(): value for name, value in parse_qsl(text.lstrip("?"))}
+
+    def bound(name):
+        try:
+            return _key(said[name], keys, schema) if said.get(name) else None
+        except (TypeError, ValueError, ArithmeticError):
+            return None
+
+    low, high = bound("fromkey"), bound("tokey")
+    take, skip = page(_number(said.get("limit")), _number(said.get("offset")))
+    backward = said.get("direction", "").lower() == "backward"
+    return Query(None, (Sort(None, backward),), skip, take, low, True, high, True, low is not None, high is not None, {})
+
+
 def _json_node(node: dict, schema: T.StructType) -> Node | None:
     for name, kind in (("and", And), ("or", Or)):
         if name in node:

@@ -58,8 +58,14 @@ _add("cursor_page", "events", lambda t: t.page_after(KeyQuery.at_most(9000), 20,
 _add("offset_page", "events", lambda t: t.page(KeyQuery.all(), 100, 20), "SELECT * FROM events ORDER BY event_id LIMIT 20 OFFSET 100")
 _add("composite_key_range", "conversations", lambda t: t.scan(KeyQuery.between((3, 1), (7, 2))), "SELECT * FROM conversations WHERE (conv_id > 3 OR (conv_id = 3 AND turn >= 1)) AND (conv_id < 7 OR (conv_id = 7 AND turn <= 2))")
 
+_add("scan_all", "region", lambda t: t.scan(), "SELECT * FROM region")
+_add("scan_query_spelling", "events", lambda t: t.query_backward_take(KeyQuery.at_most(700), 12), "SELECT * FROM events WHERE event_id <= 700 ORDER BY event_id DESC LIMIT 12")
+
 # Points and neighbours
 
+_add("find_missing", "customer", lambda t: t._at(-1), "SELECT * FROM customer WHERE c_custkey = -1")
+_add("find_composite", "conversations", lambda t: t._at((5, 1)), "SELECT * FROM conversations WHERE conv_id = 5 AND turn = 1")
+_add("exists_key", "customer", lambda t: t._at(42).agg((F.count(F.lit(1)) > 0).alias("exists")), "SELECT count(*) > 0 AS exists FROM customer WHERE c_custkey = 42")
 _add("point_get", "customer", lambda t: t._at(42), "SELECT * FROM customer WHERE c_custkey = 42")
 _add("first_row", "events", lambda t: t.first_row_df(), "SELECT * FROM events ORDER BY event_id LIMIT 1")
 _add("last_row", "events", lambda t: t.last_row_df(), "SELECT * FROM events ORDER BY event_id DESC LIMIT 1")
@@ -112,15 +118,15 @@ _add("index_eq", "orders", lambda t: t.find_by_index("by_status", "F"), "SELECT
 _add("index_range", "orders", lambda t: t.find_by_index_range("by_priority", "2", "4", True, False), "SELECT * FROM orders WHERE o_orderpriority >= '2' AND o_orderpriority < '4'")
 _add("index_prefix_ordered", "orders", lambda t: _positions(t.find_by_index_prefix("by_status_price", "P").limit(50), ["o_totalprice", "o_orderkey"]), "SELECT *, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS pos FROM (SELECT * FROM orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice, o_orderkey LIMIT 50)")
 _add("index_ordered_scan", "orders", lambda t: _positions(t.query().order_by("o_orderstatus").then_by("o_totalprice").take(40).df(), ["o_orderstatus", "o_totalprice", "o_orderkey"]), "SELECT *, row_number() OVER (ORDER BY o_orderstatus, o_totalprice, o_orderkey) AS pos FROM (SELECT * FROM orders ORDER BY o_orderstatus, o_totalprice, o_orderkey LIMIT 40)")
-_add("index_intersect", "orders", lambda t: t.fetch(t.intersect_keys(t.find_keys_by_index("by_status", "F"), t.find_keys_by_index("by_priority", "1-URGENT"))), "SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
-_add("index_union", "orders", lambda t: t.fetch(t.union_keys(t.find_keys_by_index("by_status", "P"), t.find_keys_by_index("by_priority", "1-URGENT"))), "SELECT * FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority = '1-URGENT'")
+_add("index_intersect", "orders", lambda t: t.find_by_all(("by_status", "F"), ("by_priority", "1-URGENT")), "SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+_add("index_union", "orders", lambda t: t.find_by_any(("by_status", "P"), ("by_priority", "1-URGENT")), "SELECT * FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority = '1-URGENT'")
 _add("index_keys_only", "orders", lambda t: t.find_keys_by_index("by_status", "P"), "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'")
 _add("index_count", "orders", lambda t: t.find_keys_by_index("by_priority", "5-LOW").agg(F.count(F.lit(1)).alias("count")), "SELECT count(*) AS count FROM orders WHERE o_orderpriority = '5-LOW'")
 _add("index_exists", "orders", lambda t: t.query("o_orderstatus").equal("no such").exists_df(), "SELECT count(*) > 0 AS exists FROM orders WHERE o_orderstatus = 'no such'")
 
 # Order
 
-_add("order_by_field", "customer", lambda t: _positions(t.query().order_by("c_mktsegment").df(), ["c_mktsegment", "c_custkey"]), "SELECT *, row_number() OVER (ORDER BY c_mktsegment, c_custkey) AS pos FROM customer")
+_add("order_by_field", "customer", lambda t: navigation.positions(t.df, F.struct("c_mktsegment", "c_custkey")).withColumn("pos", F.col("pos") + 1), "SELECT *, row_number() OVER (ORDER BY c_mktsegment, c_custkey) AS pos FROM customer")
 _add("order_by_desc_tiebreak", "customer", lambda t: _positions(t.query().order_by_descending("c_nationkey").take(60).df(), [F.desc("c_nationkey"), F.desc("c_custkey")]), "SELECT *, row_number() OVER (ORDER BY c_nationkey DESC, c_custkey DESC) AS pos FROM (SELECT * FROM customer ORDER BY c_nationkey DESC, c_custkey DESC LIMIT 60)")
 _add("order_by_mixed", "customer", lambda t: _positions(t.query().order_by("c_nationkey").then_by_descending("c_mktsegment").take(80).df(), [F.asc("c_nationkey"), F.desc("c_mktsegment"), F.asc("c_custkey")]), "SELECT *, row_number() OVER (ORDER BY c_nationkey, c_mktsegment DESC, c_custkey) AS pos FROM (SELECT * FROM customer ORDER BY c_nationkey, c_mktsegment DESC, c_custkey LIMIT 80)")
 _add("order_by_key_desc", "customer", lambda t: _positions(t.query("c_acctbal").greater_than(0).order_by_key_descending().take(30).df(), [F.desc("c_custkey")]), "SELECT *, row_number() OVER (ORDER BY c_custkey DESC) AS pos FROM (SELECT * FROM customer WHERE c_acctbal > 0 ORDER BY c_custkey DESC LIMIT 30)")
@@ -157,6 +163,10 @@ _add("json_not", "customer", _json({"filter": {"not": {"field": "c_mktsegment",
 _add("json_nested", "customer", _json({"filter": {"or": [{"and": [{"field": "c_nationkey", "op": ">=", "value": 5}, {"field": "c_nationkey", "op": "<", "value": 8}]}, {"not": {"field": "c_acctbal", "op": "between", "value": -500, "value2": 9000, "toInclusive": False}}]}, "order": [{"field": "c_acctbal", "desc": True}], "take": 70}), "SELECT * FROM customer WHERE (c_nationkey >= 5 AND c_nationkey < 8) OR NOT (c_acctbal >= -500 AND c_acctbal < 9000) ORDER BY c_acctbal DESC, c_custkey DESC LIMIT 70")
 _add("json_key_range", "orders", _json({"keyFrom": 50, "keyTo": 400, "keyFromInclusive": False, "order": "-$key", "limit": 25}), "SELECT * FROM orders WHERE o_orderkey > 50 AND o_orderkey <= 400 ORDER BY o_orderkey DESC LIMIT 25")
 
+_add("qs_page_clamp", "events", lambda t: t.run(textual.browse("limit=100000&offset=-5", t.df.schema, t.keys)), f"SELECT * FROM events ORDER BY event_id LIMIT {textual.MAX_PAGE}")
+_add("qs_browse_bad_bound", "orders", lambda t: t.run(textual.browse("fromKey=abc&toKey=90&limit=20", t.df.schema, t.keys)), "SELECT * FROM orders WHERE o_orderkey <= 90 ORDER BY o_orderkey LIMIT 20")
+_add("qs_literals", "orders", _string("o_orderdate=gte:1996-01-01&o_totalprice=lt:1e5&o_custkey=lte:500"), "SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_totalprice < 1e5 AND o_custkey <= 500")
+
 # Mutations: logs made from events, key user_id, against customers
 
 _ROWS = "SELECT c_custkey AS k, c_acctbal AS v FROM customer"
@@ -214,6 +224,21 @@ for _name, _ops, _clear in (
     _queries[_name] = _resolved(_ops, _clear)
     _sql[_name] = _resolved_sql(_ops, _clear)
 
+
+
+def _range_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composite keys: every tenth conversation from its turn 1 to turn 0 of the next but one."""
+    t = table(spark, sf_dir, "conversations").df
+    first = t.where("turn = 1 and conv_id % 10 = 0")
+    log = first.select(F.col("conv_id").alias("seq"), F.lit(mutations.DELETE_RANGE).alias("op"), "conv_id", "turn", "role", "text", (F.col("conv_id") + 2).alias("conv_id_to"), F.lit(0).cast("long").alias("turn_to"))
+    return mutations.resolve(t, log, ["conv_id", "turn"])
+
+
+_queries["delete_range_composite"] = _range_deleted
+_sql["delete_range_composite"] = """
+    SELECT * FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations f WHERE f.turn = 1 AND f.conv_id % 10 = 0
+      AND (c.conv_id > f.conv_id OR (c.conv_id = f.conv_id AND c.turn >= 1)) AND (c.conv_id < f.conv_id + 2 OR (c.conv_id = f.conv_id + 2 AND c.turn <= 0)))"""
+
 _add("unique_violations", "customer", lambda t: unique_violations(t.df, ["c_nationkey"]), "SELECT c_nationkey, count(*) AS count FROM customer GROUP BY c_nationkey HAVING count(*) > 1")
 
 

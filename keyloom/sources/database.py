@@ -1,7 +1,8 @@
 """Databases: named tables as immutable Parquet snapshots with a pointer to the current one.
 
 A commit writes every changed table to a new folder, range-partitioned and sorted by key so that row-group statistics
-prune key ranges, and then replaces one small catalog file. Readers see the old catalog or the new one, over all tables.
+prune key ranges, and then adds one small catalog file under the next number. Readers see the old catalog or the new one,
+over all tables. A number is taken once: of two writers that read the same catalog the second to commit fails.
 Files go through Hadoop's file system API, so any store that Spark writes to will do.
 """
 
@@ -11,6 +12,7 @@ import json
 import uuid
 from dataclasses import asdict
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -23,10 +25,14 @@ from keyloom.sources import connection
 
 #: Names that begin so are the engine's own: hidden, and refused to callers.
 INTERNAL = "__"
-CATALOG = "_catalog.json"
+CATALOG = "_catalog-"
 FILES = "__files"
 
 
+class CommitConflict(RuntimeError):
+    """Another writer has committed since the catalog was read."""
+
+
 class Database:
     """One database under a folder, or (path None) in memory for as long as the object lives."""
 
@@ -50,30 +56,65 @@ class Database:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _read_catalog(self) -> dict[str, dict]:
-        if self.path is None:
-            return {}
-        fs, p = self._fs(f"{self.path}/{CATALOG}")
-        if not fs.exists(p):
-            return {}
+    def _versions(self) -> list[int]:
+        """The numbers of the catalogs, in order."""
+        fs, p = self._fs(self.path)
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n.removeprefix(CATALOG)) for n in names if n.startswith(CATALOG) and n.removeprefix(CATALOG).isdigit())
+
+    def _read_file(self, path: str) -> str:
+        fs, p = self._fs(path)
         stream = fs.open(p)
         try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
 
+    def _read_catalog(self) -> dict[str, dict]:
+        self.version = 0
+        if self.path is None or not (versions := self._versions()):
+            return {}
+        self.version = versions[-1]
+        return json.loads(self._read_file(f"{self.path}/{CATALOG}{self.version:012d}"))
+
     def _write_catalog(self) -> None:
-        fs, new = self._fs(f"{self.path}/{CATALOG}.{uuid.uuid4().hex}")
+        fs, new = self._fs(f"{self.path}/{uuid.uuid4().hex}.tmp")
         fs.mkdirs(new.getParent())
         stream = fs.create(new, True)
         try:
             stream.write(bytearray(json.dumps(self._catalog).encode()))
         finally:
             stream.close()
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(new, self._fs(f"{self.path}/{CATALOG}")[1], options)  # one atomic step
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        context = jvm.FileContext.getFileContext(new.toUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.Options.Rename, 0)
+        try:
+            context.rename(new, self._fs(f"{self.path}/{CATALOG}{self.version + 1:012d}")[1], options)  # fails if the name is taken
+        except Py4JJavaError as e:
+            fs.delete(new, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise CommitConflict(f"version {self.version + 1} of {self.path} is another writer's: open the database anew") from None
+            raise
+        self.version += 1
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Removes all but the last `keep` catalogs and the snapshots that only those name; readers of older ones must be
+        gone, and no commit under way. How many snapshots went."""
+        versions = self._versions()
+        kept = [json.loads(self._read_file(f"{self.path}/{CATALOG}{v:012d}")) for v in versions[-max(1, keep) :]]
+        named = {m["folder"] for c in kept for m in c.values() if m.get("folder")}
+        for v in versions[: -max(1, keep)]:
+            fs, p = self._fs(f"{self.path}/{CATALOG}{v:012d}")
+            fs.delete(p, False)
+        gone = 0
+        fs, root = self._fs(self.path)
+        for table in fs.listStatus(root) if fs.exists(root) else []:
+            if table.isDirectory():
+                for snapshot in fs.listStatus(table.getPath()):
+                    name = f"{table.getPath().getName()}/{snapshot.getPath().getName()}"
+                    if name not in named:
+                        gone += bool(fs.delete(snapshot.getPath(), True))
+        return gone
 
     # Tables
 
@@ -167,10 +208,13 @@ class Database:
     # Commit
 
     def commit(self) -> None:
-        """Writes what changed and swaps the catalog. Without it nothing of it is seen after closing."""
+        """Writes what changed and adds the catalog. Without it nothing of it is seen after closing. CommitConflict if
+        another writer has committed since this one read the catalog; then nothing is seen of this commit."""
         if self.path is None:
             self._changed.clear()
             return
+        if (versions := self._versions()) and versions[-1] != self.version:
+            raise CommitConflict(f"{self.path} is at version {versions[-1]}, this database was read at {self.version}: open it anew")
         for name in sorted(self._changed):
             table = self._open[name]
             folder = f"{name}/{uuid.uuid4().hex}"

@@ -12,13 +12,16 @@ from pyspark.sql import Row
 from pyspark.sql import types as T
 
 from keyloom.operators import mutations
-from keyloom.operators.table import Table
+from keyloom.operators.table import Table, UniqueViolation, unique_violations
 from keyloom.plans import lower as L
 from keyloom.plans import textual
 from keyloom.plans.ir import Query
 from keyloom.sources.database import Database
 from keyloom.sources.schema import from_json_schema, to_json_schema
 
+#: Where a row stands in a request: of rows with one key the order decides.
+ROW = "__row"
+
 
 def to_json(value: Any) -> Any:
     if isinstance(value, Row):
@@ -94,15 +97,16 @@ class Service:
                 raise ValueError(f"unknown fields {unknown}")
             flat = (T.StructType, T.ArrayType, T.MapType)
             data.append(tuple(values.get(f.name) if isinstance(f.dataType, flat) or values.get(f.name) is None else textual.bind(values[f.name], f.dataType) for f in table.df.schema.fields))
-        return self.database.spark.createDataFrame(data, table.df.schema)
+        rows = [(*row, i) for i, row in enumerate(data)]
+        return self.database.spark.createDataFrame(rows, T.StructType([*table.df.schema.fields, T.StructField(ROW, T.LongType())]))
 
     def insert(self, table_name: str, rows: list[dict]) -> None:
         table = self.database.open_table(table_name)
-        self.database.put(table_name, mutations.insert_or_ignore(table, self._frame(table, rows)))
+        self.database.put(table_name, mutations.insert_or_ignore(table, self._frame(table, rows), ROW))
 
     def put(self, table_name: str, rows: list[dict]) -> None:
         table = self.database.open_table(table_name)
-        self.database.put(table_name, mutations.upsert(table, self._frame(table, rows)))
+        self.database.put(table_name, mutations.upsert(table, self._frame(table, rows), ROW))
 
     def delete(self, table_name: str, keys: list[Any]) -> None:
         table = self.database.open_table(table_name)
@@ -126,8 +130,13 @@ class Service:
         return found
 
     def rebuild_index(self, table_name: str, index: str) -> None:
-        """Checks a unique index anew; other indexes are projections made when they are read."""
+        """Checks a unique index anew; other indexes are projections made when they are read. The index stays whatever the
+        check finds."""
         table = self.database.open_table(table_name)
         found = table.get_index(index)
-        table.drop_index(index)
-        table.create_index(index, *found.members, unique=found.unique)
+        if found.unique and (bad := unique_violations(table.df, list(found.members)).head(1)):
+            raise UniqueViolation(index, [bad[0][m] for m in found.members])
+
+    def rebuild_indexes(self, table_name: str) -> None:
+        for index in self.database.open_table(table_name).list_indexes():
+            self.rebuild_index(table_name, index.name)

@@ -5,6 +5,7 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.cli import parser, run
@@ -13,7 +14,7 @@ from keyloom.operators.blob import BLOCK, SCHEMA, BlobFile, assemble
 from keyloom.operators.migration import migrate
 from keyloom.operators.table import Table, UniqueViolation
 from keyloom.sources import connection
-from keyloom.sources.database import Database
+from keyloom.sources.database import CommitConflict, Database
 from keyloom.sources.schema import from_json_schema, to_json_schema
 from keyloom.sources.service import Service
 from keyloom.streaming.ingest import ingest
@@ -50,6 +51,49 @@ def test_logs_equal_sequential_application(spark, seed):
     assert {r["k"]: r["v"] for r in got.collect()} == sequentially(base, ops)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_composite_logs_equal_sequential_application(spark, seed):
+    rng = random.Random(seed)
+    pair = lambda: (rng.randrange(5), rng.choice("abcd"))
+    base = [(i, c, f"b{i}{c}") for i in range(5) for c in "abcd" if rng.random() < 0.6]
+    ops = [(s, rng.choices(OPS[:4], [5, 5, 3, 4])[0], pair(), pair(), f"v{s}") for s in range(40)]
+    want = sequentially([((i, c), v) for i, c, v in base], ops)
+    flat = [(s, op, *k, *to, v) for s, op, k, to, v in ops] + [(99, "DELETE_RANGE", None, "a", 9, "z", None)]
+    log = spark.createDataFrame(flat, "seq long, op string, i int, c string, i_to int, c_to string, v string")
+    got = mutations.resolve(spark.createDataFrame(base, "i int, c string, v string"), log.repartition(3), ["i", "c"])
+    assert {(r["i"], r["c"]): r["v"] for r in got.collect()} == want
+    with pytest.raises(ValueError, match="far end"):
+        mutations.resolve(spark.createDataFrame(base, "i int, c string, v string"), log.drop("i_to", "c_to"), ["i", "c"])
+
+
+def test_many_range_deletes(spark):
+    n = 120_000
+    log = spark.range(n).select(F.col("id").alias("seq"), F.lit("DELETE_RANGE").alias("op"), (F.col("id") * 4).alias("k"), (F.col("id") * 4 + F.col("id") % 2).alias("key_to"), F.lit("").alias("v"))
+    got = mutations.resolve(spark.range(4 * n).select(F.col("id").alias("k"), F.lit("x").alias("v")), log, ["k"])
+    assert got.agg(F.count(F.lit(1)), F.sum("k")).first() == (4 * n - n - n // 2, sum(range(4 * n)) - sum(4 * i + (4 * i + 1) * (i % 2) for i in range(n)))
+
+
+def test_repeated_keys_need_an_order(spark):
+    t = Table(spark.createDataFrame([(1, "a")], "k int, v string"), "k")
+    new = spark.createDataFrame([(2, "second", 2), (2, "first", 1), (1, "new", 1)], "k int, v string, at int")
+    assert dict(mutations.upsert(t, new, "at").df.collect()) == {1: "new", 2: "second"}
+    assert dict(mutations.insert_or_ignore(t, new, "at").df.collect()) == {1: "a", 2: "first"}
+    for change in (mutations.upsert, mutations.insert_or_ignore):
+        with pytest.raises(ValueError, match="twice"):
+            change(t, new)
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 30])
+def test_positions_and_neighbours_over_ranges(spark, ranges):
+    rng = random.Random(ranges)
+    keys = rng.sample(range(200), 90)
+    df = spark.createDataFrame([(k,) for k in keys], "k int").repartition(3)
+    assert sorted(map(tuple, navigation.positions(df, F.col("k"), ranges=ranges).collect())) == [(k, i) for i, k in enumerate(sorted(keys))]
+    probes = [None] + [rng.choice([50, rng.randrange(-5, 205)]) for _ in range(60)]
+    found = navigation.find_prev(spark.createDataFrame([(p, i) for i, p in enumerate(probes)], "p int, i int"), "p", df.union(df.sparkSession.createDataFrame([(None,)], "k int")), "k", ranges=ranges)
+    assert {r["i"]: r["found_key"] for r in found.collect()} == {i: None if p is None else max((k for k in keys if k <= p), default=None) for i, p in enumerate(probes)}
+
+
 def test_unknown_operation(spark):
     with pytest.raises(Exception, match="unknown operation"):
         mutations.resolve(spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(1, "MERGE", 1, "x")], "seq long, op string, k int, v string"), ["k"]).collect()
@@ -192,6 +236,50 @@ def test_service_and_cli(spark, tmp_path):
     assert call("row-browse", "t", "--from-key", "6")["count"] == 0
 
 
+def test_writers_do_not_lose_each_others_commits(spark, tmp_path):
+    path = str(tmp_path / "db")
+    schema = spark.createDataFrame([], "id long, Name string").schema
+    a = Database(spark, path)
+    a.open_table("t", "id", schema)
+    a.commit()
+    b = Database(spark, path)
+    for db, name in ((a, "a"), (b, "b")):
+        db.put("t", mutations.upsert(db.open_table("t"), spark.createDataFrame([(1, name)], schema)))
+    a.commit()
+    with pytest.raises(CommitConflict):
+        b.commit()
+    assert dict(Database(spark, path).open_table("t").df.collect()) == {1: "a"}
+    b._versions = lambda: [b.version]  # as if the other commit came in between the check and the rename
+    with pytest.raises(CommitConflict):
+        b.commit()
+    assert a.vacuum() == 2 and dict(Database(spark, path).open_table("t").df.collect()) == {1: "a"}
+
+
+def test_rebuilding_keeps_the_index(spark):
+    s = Service(Database(spark))
+    s.create_table("p", {"type": "integer"}, {"type": "object", "properties": {"City": {"type": "string"}}})
+    s.put("p", [{"key": 1, "value": {"City": "x"}}, {"key": 2, "value": {"City": "y"}}])
+    s.create_index("p", "city", ["City"], unique=True)
+    t = s.database.open_table("p")
+    s.database.put("p", t.with_df(t.df.withColumn("City", F.lit("same"))))
+    with pytest.raises(UniqueViolation):
+        s.rebuild_indexes("p")
+    assert [i.name for i in s.database.open_table("p").list_indexes()] == ["city"]
+
+
+def test_two_streams_feed_one_table(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "db"))
+    db.open_table("t", "id", spark.createDataFrame([], "id long, Name string").schema)
+    db.commit()
+    kind = "seq long, op string, id long, Name string"
+    for i in (1, 2):
+        source = str(tmp_path / f"log{i}")
+        spark.createDataFrame([(i, "REPLACE", i, "x")], kind).coalesce(1).write.parquet(source)
+        for _ in range(2):  # the second run has nothing new
+            ingest(spark.readStream.schema(kind).parquet(source), db, "t", str(tmp_path / f"checkpoint{i}"), available_now=True).awaitTermination()
+    assert Database(spark, str(tmp_path / "db")).open_table("t").count() == 2
+
+
 def test_stream(spark, tmp_path):
     db = Database(spark, str(tmp_path / "db"))
     schema = spark.createDataFrame([], "id long, Name string").schema
