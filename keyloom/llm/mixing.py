@@ -102,10 +102,13 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED, keep: C
     )
     # One row a bucket: joined by both columns, so that a large source is spread over its buckets.
     full = slim.join(buckets_plan, F.col("_s").eqNullSafe(F.col("_ps")) & (F.col("_b") == F.col("_pb")))
+    # Buckets before the budget's end are taken whole, those behind it not at all: only the one it ends in is ordered.
     open_bucket = (F.col("_before") < F.col("budget")) & (F.col("_before") + F.col("_bn") > F.col("budget"))
     inside = W.partitionBy("_s", "_b").orderBy("_k", "_d", "_n", "_m").rowsBetween(W.unboundedPreceding, -1)
-    full = full.withColumn("_at", F.when(open_bucket, F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).otherwise(F.col("_before")))
-    drawn = F.when(open_bucket, F.col("_at") * 2 + F.col("_n") <= F.col("budget") * 2).otherwise(F.col("_before") + F.col("_bn") <= F.col("budget"))
+    at = F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    ordered = full.where(open_bucket).withColumn("_drawn", at * 2 + F.col("_n") <= F.col("budget") * 2)
+    whole = full.where(~open_bucket).withColumn("_drawn", F.col("_before") + F.col("_bn") <= F.col("budget"))
+    full, drawn = whole.unionByName(ordered), F.col("_drawn")
     return full.select(
         F.col("_d").alias("doc_id"),
         F.col("_s").alias("source"),

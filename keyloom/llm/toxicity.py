@@ -1,8 +1,8 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
 Severity has ordered grades 0 (none) to 3. One weight vector serves all thresholds: P(grade > k) is the logistic function
-of w.x - t_k with t_0 < t_1 < t_2, so grades share what they learn, and the expected severity is the sum of the three
-probabilities. Features are the distinct words of a text and their beginnings, hashed; a linear model over them is
+of w.x - t_k with t_0 < t_1 < t_2, so grades share what they learn; a grade's probability is the difference of two of
+them, and its likelihood is what is maximised. The expected severity is the sum of the three probabilities. Features are the distinct words of a text and their beginnings, hashed; a linear model over them is
 a sum over words, so that scoring looks each word up once.
 
 The labels say toxic or not. Among toxic training texts the grade comes from how much of the text consists of features
@@ -85,14 +85,30 @@ def grades(rows: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray, st
     return out
 
 
+def likelihood(linear: np.ndarray, t: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The negative log-likelihood of each text's grade under P(grade > k) = logistic(linear - t_k), and its derivatives by
+    linear and by the thresholds (a row a text)."""
+    at = np.arange(len(grade))
+    above = np.ones((len(grade), len(t) + 2))  # P(grade > -1) = 1, P(grade > 0), ..., P(grade > last) = 0
+    above[:, 1:-1] = 1 / (1 + np.exp(np.clip(t[None, :] - linear[:, None], -60, 60)))
+    above[:, -1] = 0
+    a, b = above[at, grade], above[at, grade + 1]
+    p = np.maximum(a - b, 1e-12)
+    by_t = np.zeros((len(grade), len(t) + 2))
+    by_t[at, grade] = a * (1 - a) / p
+    by_t[at, grade + 1] = -b * (1 - b) / p
+    return -np.log(p), a + b - 1, by_t[:, 1:-1]
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grade: np.ndarray, epochs: int = EPOCHS) -> Model:
-    """Adagrad over mini-batches in a fixed order, with a soft threshold that keeps the weights sparse."""
+    """Adagrad on the cumulative-link likelihood over mini-batches in a fixed order, with a soft threshold that keeps the
+    weights sparse. Thresholds are the first and the logarithms of the steps between them, so that they stay in order."""
     w, gw = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-8)
     counts = np.bincount(grade, minlength=GRADES + 1)
     above = np.clip((counts[::-1].cumsum()[::-1][1:] + 0.5) / (len(grade) + 1), 1e-4, 1 - 1e-4)
     t = np.log(1 - above) - np.log(above)
-    t = np.maximum.accumulate(t + np.arange(GRADES) * 1e-3)
-    gt = np.full(GRADES, 1e-8)
+    u = np.append(t[:1], np.log(np.maximum(np.diff(t), 0.1)))
+    gu = np.full(GRADES, 1e-8)
     order = np.random.default_rng(7).permutation(len(rows))
     size = 64
     for _ in range(epochs):
@@ -102,20 +118,24 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grade: np.ndarray, epoch
             own = np.repeat(np.arange(len(batch)), [len(rows[i][0]) for i in batch])
             x = np.concatenate([rows[i][1] for i in batch]).astype(float)
             linear = np.bincount(own, weights=w[ids] * x, minlength=len(batch))
-            p = 1 / (1 + np.exp(np.clip(t[None, :] - linear[:, None], -60, 60)))
-            err = p - (grade[batch][:, None] > np.arange(GRADES)[None, :])
-            # Thresholds are fitted as binary problems that share w, each weighed alike.
-            per_doc = err.mean(axis=1) / len(batch)
+            _, by_linear, by_t = likelihood(linear, thresholds(u), grade[batch])
             uniq, inv = np.unique(ids, return_inverse=True)
-            g = np.bincount(inv, weights=per_doc[own] * x, minlength=len(uniq))
+            g = np.bincount(inv, weights=by_linear[own] * x, minlength=len(uniq)) / len(batch)
             gw[uniq] += g * g
             step = RATE / np.sqrt(gw[uniq])
             new = w[uniq] - step * g
             w[uniq] = np.sign(new) * np.maximum(np.abs(new) - step * SHRINK, 0)
-            dt = -err.mean(axis=0)
-            gt += dt * dt
-            t = np.maximum.accumulate(t - RATE / np.sqrt(gt) * dt)
-    return Model(w.astype(np.float32), t)
+            # Every threshold moves with the steps below it.
+            du = by_t.mean(axis=0)[::-1].cumsum()[::-1]
+            du[1:] *= np.exp(u[1:])
+            gu += du * du
+            u = u - RATE / np.sqrt(gu) * du
+            u[1:] = np.clip(u[1:], -5, 5)
+    return Model(w.astype(np.float32), thresholds(u))
+
+
+def thresholds(u: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.append(u[:1], np.exp(u[1:])))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -180,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
             columns = [pa.array([k[i] for k in kept], pa.list_(pa.int32())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, batch.column(4)], batch.schema.names)
 
-    found = slim.mapInArrow(keep, slim.schema).orderBy("doc_id").limit(2 * sample).toArrow()  # a few numbers a text
+    found = slim.mapInArrow(keep, slim.schema).orderBy("doc_id", "n", "ids", "counts").limit(2 * sample).toArrow()  # a few numbers a text
     rows = [
         (np.array(ids.values, np.int64), np.array(counts.values, np.int64), n.as_py())
         for ids, counts, n in zip(found.column("ids"), found.column("counts"), found.column("n"), strict=True)

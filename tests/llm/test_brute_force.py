@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import itertools
+import math
 import os
 import random
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -385,6 +387,44 @@ def test_toxicity_on_held_out_documents(spark):
     assert all(0 <= r["severity"] <= 3 and 0 <= r["grade"] <= 3 for r in got.values())
 
 
+def test_risk_and_prior():
+    rng = np.random.default_rng(3)
+    sp, su = rng.random(50), rng.random(80)
+    on_good, on_bad = quality.risk(sp, su, 0.4)
+    assert abs(on_good - 0.4 * sum(-math.log(x) for x in sp) / 50) < 1e-9
+    assert abs(on_bad - (sum(-math.log(1 - x) for x in su) / 80 - 0.4 * sum(-math.log(1 - x) for x in sp) / 50)) < 1e-9
+    # Good documents about 1, bad ones about -1: the share is found without seeing a bad label.
+    make = lambda good, n: rng.normal(1 if good else -1, 0.5, (n, len(quality.FEATURES)))
+    for share in (0.3, 0.8):
+        n = 2000
+        good = make(True, n)
+        mixed = np.concatenate([make(True, int(share * n)), make(False, n - int(share * n))])
+        edges = quality.cuts(mixed)
+        assert abs(quality.class_prior(good, mixed, edges) - share) < 0.06
+        model = quality.fit(good, mixed, share, edges, 300)
+        assert (model.score(make(True, 500)) >= 0.5).mean() > 0.95 and (model.score(make(False, 500)) < 0.5).mean() > 0.95
+        x = make(True, 3)
+        by_hand = [1 / (1 + math.exp(-(model.weights[-1] + sum(model.weights[sum(len(e) for e in edges[:f]) + j] for f in range(len(edges)) for j in range(len(edges[f])) if row[f] >= edges[f][j])))) for row in x]
+        assert np.allclose(model.score(x), by_hand)
+
+
+def test_cumulative_link_likelihood():
+    rng = np.random.default_rng(4)
+    linear, grade = rng.normal(0, 2, 40), rng.integers(0, 4, 40)
+    t = np.array([-0.5, 0.3, 1.7])
+    loss, by_linear, by_t = toxicity.likelihood(linear, t, grade)
+    sigma = lambda z: 1 / (1 + math.exp(-z))
+    for i, (x, y) in enumerate(zip(linear, grade, strict=True)):
+        p = (sigma(x - t[y - 1]) if y else 1) - (sigma(x - t[y]) if y < 3 else 0)
+        assert abs(loss[i] + math.log(p)) < 1e-9
+    h = 1e-5
+    moved = lambda dx, dt: toxicity.likelihood(linear + dx, t + dt, grade)[0]
+    assert np.allclose((moved(h, 0) - moved(-h, 0)) / (2 * h), by_linear, atol=1e-5)
+    for k in range(3):
+        d = np.eye(3)[k] * h
+        assert np.allclose((moved(0, d) - moved(0, -d)) / (2 * h), by_t[:, k], atol=1e-5)
+
+
 def test_thresholds_are_ordered():
     import numpy as np
 
