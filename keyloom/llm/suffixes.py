@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ GRAM = 24
 BLOCK = 1 << 15
 #: Bytes of text in a run, and sampled suffixes that a hash range is to hold.
 RUN_BYTES = 4 << 20
-RANGE_ROWS = 400_000
+RANGE_ROWS = 250_000
 #: An id for order only: a null doc_id comes after all others and is smaller than none.
 NO_ID = np.iinfo(np.int64).max
 #: Bits of an anchor's hash that step 2 exchanges.
@@ -176,18 +176,18 @@ def front_code(entries: list[bytes]) -> tuple[bytes, list[int], list[int]]:
     return b"".join(tails), list(map(len, tails)), shared
 
 
-def front_decode(tails: bytes, lengths, shared) -> list[bytes]:
-    out, at, before = [], 0, b""
+def front_decode(tails: bytes, lengths, shared) -> Iterator[bytes]:
+    """The strings again, one at a time."""
+    at, before = 0, b""
     for n, p in zip(lengths, shared, strict=True):
         before = before[:p] + tails[at : at + n]
         at += n
-        out.append(before)
-    return out
+        yield before
 
 
-def merge(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[bytes, int, int, int]]:
+def merge(runs: list[tuple[Iterable[bytes], list[int]]]) -> Iterator[tuple[bytes, int, int, int]]:
     """Merges sorted runs (strings, common prefixes with the predecessor) with a loser tree -> string, run, index in
-    the run, common prefix with the string before it in the merged order.
+    the run, common prefix with the string before it in the merged order. Of each run only the next string is held.
 
     Every string at a leaf knows its common prefix with the last winner. Of two, the one with the longer prefix is the
     smaller; only equal prefixes need a comparison, which starts behind them and gives the loser its prefix with the
@@ -198,7 +198,8 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[bytes, in
         return
     size = 1 << max(0, k - 1).bit_length()
     at = [0] * k
-    head: list[bytes | None] = [r[0][0] if r[0] else None for r in runs] + [None] * (size - k)
+    following = [iter(strings) for strings, _ in runs]
+    head: list[bytes | None] = [next(f, None) for f in following] + [None] * (size - k)
     known = [0] * size
     loser = [-1] * size
 
@@ -224,16 +225,14 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[bytes, in
         row = [win for win, _ in played]
     winner = row[0]
     while (x := head[winner]) is not None:
-        strings, shared = runs[winner]
         i = at[winner]
         yield x, winner, i, known[winner]
         at[winner] = i = i + 1
-        if i < len(strings):
-            x, p = strings[i], shared[i]
-            head[winner], known[winner] = x, p
+        head[winner] = x = next(following[winner], None)
+        if x is not None:
+            known[winner] = p = runs[winner][1][i]
         else:
-            x, p = None, 0
-            head[winner] = None
+            p = 0
         # Up to the root. Most games are told by the known prefixes alone.
         node = (winner + size) >> 1
         while node:
@@ -375,9 +374,10 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, run_bytes: int = RUN_B
         runs_, content, owner = [], [], []
         for blob in table.column("blob"):
             tails, lengths, shared, c, ids = _unpack(blob.as_py())
-            runs_.append((front_decode(tails, lengths.tolist(), shared.tolist()), shared.tolist()))
-            content.append(c.tolist())
-            owner.append(ids.tolist())
+            shared = shared.tolist()  # mostly under 256: numbers that Python has once
+            runs_.append((front_decode(tails, lengths.tolist(), shared), shared))
+            content.append(c)
+            owner.append(ids)
         news: list[list[tuple[int, int, int | list[int]]]] = [[] for _ in run_ids]
 
         def settle(group: list[tuple[bytes, int, list[tuple[int, int]]]]) -> None:
@@ -387,7 +387,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, run_bytes: int = RUN_B
                 _, least, places = group[0]
                 for r, i in places:
                     if owner[r][i] > least:
-                        news[r].append((key, content[r][i], least))
+                        news[r].append((key, int(content[r][i]), least))
                 return
             # From the smallest document on: the first to name a window is its smallest.
             seen: dict[bytes, int] = {}
@@ -400,11 +400,11 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, run_bytes: int = RUN_B
                 said = low if low == max(windows) else windows
                 for r, i in places:
                     if owner[r][i] > low:
-                        news[r].append((key, content[r][i], said))
+                        news[r].append((key, int(content[r][i]), said))
 
         group: list[tuple[bytes, int, list[tuple[int, int]]]] = []
         for string, r, i, shared in merge(runs_):
-            doc = owner[r][i]
+            doc = int(owner[r][i])
             if group and shared == len(string) == len(group[-1][0]):
                 last = group[-1]
                 last[2].append((r, i))
