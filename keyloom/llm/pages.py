@@ -34,9 +34,11 @@ COVERED = 0.5
 #: of TOLD_PAGES pages or more tells of runs that half that share of them have (pages are dealt by hash, so a run of half
 #: the host's pages falls under that in a chunk with a probability under 1e-10), a smaller one of all.
 TEMPLATE_SHARE, TEMPLATE_PAGES, TOLD_PAGES = 0.5, 3, 200
-#: Characters of text in a chunk of a host, and hosts over that size that are broadcast.
-CHUNK_CHARS = 4 << 20
+#: Characters of HTML in a chunk of a host, and hosts over that size that are broadcast.
+CHUNK_CHARS = 6 << 20
 BROADCAST_HOSTS = 100_000
+#: In the place of a range of hashes: the number of a chunk's pages.
+PAGES = -1
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 # HTML elements by their role, and the words in class, id and role attributes that name boilerplate.
@@ -278,17 +280,21 @@ def main_texts(pages: DataFrame, run_tokens: int = RUN_TOKENS, chunk_chars: int
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#@]*)", 1), F.lit("")))
     kind = pages.schema["page_id"].dataType.simpleString()
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [candidates(h.as_py()) for h in batch.column(3)]
-            columns = [pa.array([m for m, _ in found], pa.bool_()), pa.array(["\n".join(t) for _, t in found], pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, batch.column(4)], ["page_id", "url", "host", "marked", "text", "spread"])
-
-    spread = F.xxhash64("page_id", "url", F.monotonically_increasing_id())  # equal rows are told apart
-    rows = pages.select("page_id", "url", host.alias("host"), "html", spread.alias("spread"))
-    rows = cut(rows.mapInArrow(read, f"page_id {kind}, url string, host string, marked boolean, text string, spread long"), "pages")
-    sizes = rows.groupBy("host", "marked").agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("pages")).where(F.col("chars") > chunk_chars)
-    large = cut(sizes.select("host", "marked", F.ceil(F.col("chars") / chunk_chars).alias("parts"), "pages"), "large-hosts")
+    def parsed(rows: DataFrame) -> DataFrame:
+        """Columns page_id, url, html and numbers and strings -> marked and text in the place of html."""
+        rest = rows.columns[3:]
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [candidates(h.as_py()) for h in batch.column(2)]
+                columns = [pa.array([m for m, _ in found], pa.bool_()), pa.array(["\n".join(t) for _, t in found], pa.string())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns, *batch.columns[3:]], ["page_id", "url", "marked", "text", *rest])
+
+        return rows.mapInArrow(read, f"page_id {kind}, url string, marked boolean, text string" + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in rest))
+
+    rows = pages.select("page_id", "url", "html", host.alias("host"), F.monotonically_increasing_id().alias("row"))
+    sizes = rows.groupBy("host").agg(F.sum(F.length("html")).alias("chars")).where(F.col("chars") > chunk_chars)
+    large = cut(sizes.select("host", F.ceil(F.col("chars") / chunk_chars).alias("parts")), "large-hosts")
     count = large.count()
     schema = f"page_id {kind}, url string, text string, n_chars long, n_repeated long"
 
@@ -301,11 +307,13 @@ def main_texts(pages: DataFrame, run_tokens: int = RUN_TOKENS, chunk_chars: int
         return result(chunk, chunk_texts(chunk.column("text").to_pylist(), chunk.column("marked")[0].as_py(), chunk.num_rows, run_tokens))
 
     if not count:
-        return rows.groupBy("host", "marked").applyInArrow(whole, schema)
+        return parsed(rows.drop("row")).groupBy("host", "marked").applyInArrow(whole, schema)
 
     held = F.broadcast(large) if count <= BROADCAST_HOSTS else large
-    small = rows.join(held, ["host", "marked"], "left_anti").groupBy("host", "marked").applyInArrow(whole, schema)
-    chunks = rows.join(held, ["host", "marked"]).withColumn("part", F.pmod("spread", "parts"))
+    small = parsed(rows.drop("row").join(held, "host", "left_anti").select("page_id", "url", "html", "host"))
+    small = small.groupBy("host", "marked").applyInArrow(whole, schema)
+    spread = F.pmod(F.xxhash64("page_id", "url", "row"), "parts")  # equal rows are told apart
+    chunks = parsed(rows.join(held, "host").select("page_id", "url", "html", "host", "parts", spread.alias("part")))
 
     def send(chunk: pa.Table) -> pa.Table:
         first = {c: chunk.column(c)[0].as_py() for c in ("host", "marked", "part", "parts")}
@@ -313,6 +321,7 @@ def main_texts(pages: DataFrame, run_tokens: int = RUN_TOKENS, chunk_chars: int
         # As many ranges of hashes as chunks: the top bits, scaled.
         edges = np.searchsorted((keys >> np.uint64(32)) * np.uint64(first["parts"]) >> np.uint64(32), np.arange(first["parts"] + 1, dtype=np.uint64))
         told = [(r, pack_runs(keys[lo:hi], counts[lo:hi])) for r, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)) if hi > lo]
+        told.append((PAGES, pack_runs(np.zeros(1, np.uint64), np.array([chunk.num_rows]))))
         return pa.table({
             "host": pa.array([first["host"]] * len(told), pa.string()), "marked": pa.array([first["marked"]] * len(told), pa.bool_()),
             "range": pa.array([r for r, _ in told], pa.int64()), "part": pa.array([first["part"]] * len(told), pa.int64()), "runs": pa.array([b for _, b in told], pa.binary()),
@@ -326,20 +335,23 @@ def main_texts(pages: DataFrame, run_tokens: int = RUN_TOKENS, chunk_chars: int
         for keys, counts in told:
             total = totals[place[at : at + len(keys)]]
             at += len(keys)
-            out.append(pack_runs(keys[total > counts], total[total > counts]))
-        return chunk.select(["host", "marked", "part"]).append_column("runs", pa.array(out, pa.binary()))
+            more = (total > counts) | (chunk.column("range")[0].as_py() == PAGES)
+            out.append(pack_runs(keys[more], total[more]))
+        return chunk.select(["host", "marked", "range", "part"]).append_column("runs", pa.array(out, pa.binary()))
 
     def judge(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
         if not chunk.num_rows:
             return result(chunk, [])
-        told = [unpack_runs(b.as_py()) for b in answers.column("runs")]
-        keys, totals = (np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.uint64, [k for k, _ in told]), (np.int64, [n for _, n in told])))
+        told = [(r, *unpack_runs(b.as_py())) for r, b in zip(answers.column("range").to_pylist(), answers.column("runs"), strict=True)]
+        pages_of_host = sum(int(n[0]) for r, _, n in told if r == PAGES)
+        keys = np.concatenate([np.zeros(0, np.uint64), *[k for r, k, _ in told if r != PAGES]])
+        totals = np.concatenate([np.zeros(0, np.int64), *[n for r, _, n in told if r != PAGES]])
         order = np.argsort(keys)
-        found = chunk_texts(chunk.column("text").to_pylist(), chunk.column("marked")[0].as_py(), chunk.column("pages")[0].as_py(), run_tokens, (keys[order], totals[order]))
+        found = chunk_texts(chunk.column("text").to_pylist(), chunk.column("marked")[0].as_py(), pages_of_host, run_tokens, (keys[order], totals[order]))
         return result(chunk, found)
 
     runs = chunks.groupBy("host", "marked", "part").applyInArrow(send, "host string, marked boolean, range long, part long, runs binary")
-    answers = runs.groupBy("host", "marked", "range").applyInArrow(answer, "host string, marked boolean, part long, runs binary")
+    answers = runs.groupBy("host", "marked", "range").applyInArrow(answer, "host string, marked boolean, range long, part long, runs binary")
     both = chunks.groupBy("host", "marked", "part").cogroup(answers.groupBy("host", "marked", "part"))
     return small.union(both.applyInArrow(judge, schema))
 
