@@ -312,9 +312,10 @@ def surplus_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, mos
     nodes = table.groupBy("t").agg(F.first("fps").alias("fps"))
     nodes = cut(nodes, "copy-nodes")
     verified = similar_links(rows, cut(chain_links(nodes.select("t", F.lit(None).cast("long").alias("c"), "fps"), most), "copy-pairs"), words, similarity)
-    classes = _numbered(components(verified))
-    verified = verified.union(similar_links(rows, cut(candidate_links(nodes.join(classes, "t", "left"), most), "copy-pairs"), words, similarity))
     linked = components(verified)
+    more = similar_links(rows, cut(candidate_links(nodes.join(_numbered(linked), "t", "left"), most), "copy-pairs"), words, similarity)
+    # The classes found so far are stars already: only what joins them is new.
+    linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "t")
     per_text = table.groupBy("t").agg(F.min(first).alias("f"), F.count(F.lit(1)).alias("n"))
     per_text = per_text.join(linked.withColumnRenamed("node", "t"), "t", "left").withColumn("class", F.coalesce("component", "t"))
