@@ -155,8 +155,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2, seed: int =
 # compared with itself.
 
 TABLES = 3
+#: Texts that may share a signature before their shingles' bitmaps go with them into the join.
+CROWD = 64
 #: 64-bit words of a bitmap of shingles; the bits of a class's number that are its own.
 PARITIES = 8
+BITMAP = [f"m{i}" for i in range(PARITIES)]
 CLASS_BITS = 57
 CLASS = (1 << CLASS_BITS) - 1
 _SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -223,22 +226,38 @@ def chain_links(nodes: DataFrame, most: int = 4) -> DataFrame:
     return chained.where(near & (F.col("t0") != F.col("t"))).select(F.least("t", "t0").alias("a"), F.greatest("t", "t0").alias("b")).distinct()
 
 
-def candidate_links(nodes: DataFrame, most: int = 4) -> DataFrame:
-    """nodes(t, c, fps) -> a, b with a < b: all pairs of texts of different classes c (null: a class of its own) with
-    fingerprints within `most` bits (2 or more) in some table.
+def candidate_links(rows: DataFrame, nodes: DataFrame, words: int, similarity: float, most: int = 4, crowd: int = CROWD) -> DataFrame:
+    """rows(t, x), nodes(t, c, fps) -> a, b with a < b: of the texts of different classes c (null: a class of its own), all
+    pairs with fingerprints within `most` bits (2 or more) in some table, but for some whose shingle sets cannot have that
+    Jaccard similarity.
 
     Under each signature the class that sorts last, a large one as classes number by size, is compared with the other
-    texts but not within itself. A pair leaves the join only under the first signature it shares.
+    texts but not within itself. A pair leaves the join only under the first signature it shares. Where more than `crowd`
+    texts share a signature (a family of texts alike in their words), the join also compares sizes and parity bitmaps of
+    the shingle sets, so that of such a family too only pairs that may be similar leave it.
     """
-    signed = _signed(nodes, most, wild=True)
-    left, right = (signed.select(*[F.col(c).alias(f"{c}{x}") for c in ("t", "c", "fp", "k")]) for x in "ab")
-    ca, cb = (F.coalesce(f"c{x}", F.col(f"t{x}").bitwiseAND(F.lit(CLASS).cast("long"))) for x in "ab")
-    left = left.withColumn("last", F.max(ca).over(W.partitionBy("ka"))).where(ca < F.col("last"))
-    x = F.col("fpa").bitwiseXOR(F.col("fpb"))
-    first = F.shiftright("ka", 32).bitwiseAND(F.lit(255).cast("long")) == _first_signature(x, most)
-    once = (cb == F.col("last")) | (F.col("ta") < F.col("tb"))
-    found = left.join(right, (F.col("ka") == F.col("kb")) & (F.bit_count(x) <= most) & (ca != cb) & once & first)
-    return found.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
+    by = W.partitionBy("k")
+    signed = _signed(nodes.withColumn("c", F.coalesce("c", F.col("t").bitwiseAND(F.lit(CLASS).cast("long")))), most, wild=True)
+    signed = signed.select("*", F.min("c").over(by).alias("least"), F.max("c").over(by).alias("last"), F.count(F.lit(1)).over(by).alias("size"))
+    signed = signed.where(F.col("least") < F.col("last")).drop("least")
+
+    def met(of: DataFrame, more: list[str], also: Column) -> DataFrame:
+        left, right = (of.select(*[F.col(c).alias(f"{c}{x}") for c in ("t", "c", "fp", "k", "last", *more)]) for x in "ab")
+        x = F.col("fpa").bitwiseXOR(F.col("fpb"))
+        first = F.shiftright("ka", 32).bitwiseAND(F.lit(255).cast("long")) == _first_signature(x, most)
+        once = (F.col("cb") == F.col("lasta")) | (F.col("ta") < F.col("tb"))
+        found = left.where("ca < lasta").join(right, (F.col("ka") == F.col("kb")) & (F.bit_count(x) <= most) & (F.col("ca") != F.col("cb")) & once & first & also)
+        return found.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
+
+    crowded = ["t", "c", "fp", "k", "last"]
+    none = [F.lit(None).cast("long").alias(c) for c in ("a", "b", *crowded)]
+    sparse = met(signed.where(F.col("size") <= crowd), [], F.lit(True)).select("a", "b", *none[2:])
+    found = cut(sparse.union(signed.where(F.col("size") > crowd).select(*none[:2], *crowded)), "copy-met")
+    pairs, dense = found.where("a is not null").select("a", "b"), found.where("t is not null").select(*crowded)
+    if dense.isEmpty():
+        return pairs
+    maps = _shingles(rows, cut(dense.select("t").distinct(), "copy-ids"), words).drop("s")
+    return pairs.union(met(dense.join(maps, "t"), ["n", *BITMAP], able(similarity))).distinct()
 
 
 def _numbered(linked: DataFrame) -> DataFrame:
@@ -250,34 +269,41 @@ def _numbered(linked: DataFrame) -> DataFrame:
     return linked.join(sizes, "component").select(F.col("node").alias("t"), "c").union(sizes.select(F.col("component").alias("t"), "c"))
 
 
-def similar_links(rows: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """rows(t, x), pairs(a, b) -> a, b: the pairs whose texts' shingle sets have that Jaccard similarity.
-
-    Sets that similar differ in at most (1 - s) / (1 + s) of their summed sizes, and by at least as many shingles as bits
-    of their parity bitmaps differ: that rules most other pairs out before the sets are fetched.
-    """
+def _shingles(rows: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """rows(t, x), ids(t) -> t, s (the hashes of the text's distinct shingles), n (their number) and their parity bitmap."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t.as_py(), words) for t in batch.column(1)]
             maps = np.array([parities(s) for s in found], np.int64).reshape(-1, PARITIES)
             columns = [batch.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(maps[:, i]) for i in range(PARITIES)], ["t", "s", "n", *bitmap])
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(maps[:, i]) for i in range(PARITIES)], ["t", "s", "n", *BITMAP])
+
+    ids = F.broadcast(ids) if ids.count() <= 1_000_000 else ids
+    schema = "t long, s binary, n long, " + ", ".join(f"{m} long" for m in BITMAP)
+    found = rows.select("t", "x").join(ids, "t", "left_semi").mapInArrow(sets, schema)
+    return cut(found.groupBy("t").agg(*[F.first(c).alias(c) for c in ("s", "n", *BITMAP)]), "copy-shingles")
+
 
-    bitmap = [f"m{i}" for i in range(PARITIES)]
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct(), "copy-ids")
-    wanted = F.broadcast(wanted) if wanted.count() <= 1_000_000 else wanted
-    schema = "t long, s binary, n long, " + ", ".join(f"{m} long" for m in bitmap)
-    shingles = rows.select("t", "x").join(wanted, "t", "left_semi").mapInArrow(sets, schema)
-    shingles = cut(shingles.groupBy("t").agg(*[F.first(c).alias(c) for c in ("s", "n", *bitmap)]), "copy-shingles")
+def able(similarity: float) -> Column:
+    """Whether the sets of na and nb shingles with bitmaps m0a, m0b ... can have that Jaccard similarity.
 
-    ma, mb = (shingles.select(F.col("t").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", *bitmap)]) for x in "ab")
+    Sets that similar differ in at most (1 - s) / (1 + s) of their summed sizes, and by at least as many shingles as bits
+    of their parity bitmaps differ.
+    """
     differ = F.lit(0)
-    for m in bitmap:
+    for m in BITMAP:
         differ = differ + F.bit_count(F.col(f"{m}a").bitwiseXOR(F.col(f"{m}b")))
     sizes = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6
-    able = sizes & (differ <= (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
-    able = cut(pairs.join(ma, "a").join(mb, "b").where(able).select("a", "b"), "copy-able")
+    return sizes & (differ <= (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+
+
+def similar_links(rows: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """rows(t, x), pairs(a, b) -> a, b: the pairs whose texts' shingle sets have that Jaccard similarity. Sizes and parity
+    bitmaps rule most other pairs out before the sets are fetched."""
+    shingles = _shingles(rows, cut(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct(), "copy-ids"), words)
+    ma, mb = (shingles.select(F.col("t").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", *BITMAP)]) for x in "ab")
+    may = cut(pairs.join(ma, "a").join(mb, "b").where(able(similarity)).select("a", "b"), "copy-able")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,7 +315,7 @@ def similar_links(rows: DataFrame, pairs: DataFrame, words: int, similarity: flo
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     sa, sb = (shingles.select(F.col("t").alias(n), F.col("s").alias(f"s{n}")) for n in "ab")
-    return cut(able.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long"), "copy-links")
+    return cut(may.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long"), "copy-links")
 
 
 def surplus_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 4, tables: int = TABLES) -> DataFrame:
@@ -313,7 +339,8 @@ def surplus_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, mos
     nodes = cut(nodes, "copy-nodes")
     verified = similar_links(rows, cut(chain_links(nodes.select("t", F.lit(None).cast("long").alias("c"), "fps"), most), "copy-pairs"), words, similarity)
     linked = components(verified)
-    more = similar_links(rows, cut(candidate_links(nodes.join(_numbered(linked), "t", "left"), most), "copy-pairs"), words, similarity)
+    classed = nodes.join(_numbered(linked), "t", "left")
+    more = similar_links(rows, cut(candidate_links(rows, classed, words, similarity, most), "copy-pairs"), words, similarity)
     # The classes found so far are stars already: only what joins them is new.
     linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "t")

@@ -358,6 +358,32 @@ def test_copies_inside_a_large_family_are_found(spark):
     assert len(links) > 80 and sorted(r["doc_id"] for r in simhash.drop_copies(df).collect()) == want
 
 
+def test_crowded_signatures_lose_no_link(spark):
+    rng = random.Random(21)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for _ in range(60):
+        w = [f"n{rng.getrandbits(40)}" if rng.random() < 0.02 else x for x in base]
+        for _ in range(2):
+            w = list(w)
+            w[rng.randrange(len(w))] = f"n{rng.getrandbits(40)}"
+            texts.append(w)
+    prints = [simhash.word_fingerprints(" ".join(w).encode()) for w in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    near = {
+        (i, j)
+        for i, j in itertools.combinations(range(len(texts)), 2)
+        if any(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 for a, b in zip(prints[i], prints[j], strict=True))
+    }
+    links = {(i, j) for i, j in near if 1.8 * len(sets[i] & sets[j]) >= 0.8 * (len(sets[i]) + len(sets[j])) - 1e-9}
+    rows = spark.createDataFrame([(i, bytearray(" ".join(w).encode())) for i, w in enumerate(texts)], "t long, x binary")
+    nodes = spark.createDataFrame([(i, None, p) for i, p in enumerate(prints)], "t long, c long, fps array<long>")
+    plain, crowded = ({tuple(r) for r in simhash.candidate_links(rows, nodes, 5, 0.8, crowd=n).collect()} for n in (10**6, 2))
+    assert plain == near
+    assert links and links <= crowded <= near
+    assert len(crowded) < len(near) / 2  # of a family only pairs that may be similar leave the join
+
+
 # Classifiers
 
 
