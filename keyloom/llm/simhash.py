@@ -190,16 +190,17 @@ def parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _signed(nodes: DataFrame, most: int, wild: bool) -> DataFrame:
-    """nodes(t, c, fps) -> t, c, fp, k: a row for every signature of every text's fingerprints. The number of a signature
-    (see _first_signature) is in bits 32 to 39 of k, the table above them, the value of the segment below."""
+def _signed(nodes: DataFrame, most: int, wild: bool, more: list[str] | None = None) -> DataFrame:
+    """nodes(t, c, fps, more) -> t, c, more, fp, k: a row for every signature of every text's fingerprints. The number of a
+    signature (see _first_signature) is in bits 32 to 39 of k, the table above them, the value of the segment below."""
     segments = cuts(BITS, most)
     fp, values = F.col("fp"), [_segment(F.col("fp"), shift, width) for shift, width in segments]
     if wild:
         for shift, width in segments[: max(0, most - len(segments) + 1)]:
             values += [_segment(fp, shift, width).bitwiseAND(F.lit(~(1 << bit)).cast("long")) for bit in range(width)]
     keys = [(F.col("table").cast("long") * 256 + i) * (1 << 32) + v for i, v in enumerate(values)]
-    return nodes.select("t", "c", F.posexplode("fps").alias("table", "fp")).select("t", "c", "fp", F.explode(F.array(*keys)).alias("k"))
+    kept = ["t", "c", *(more or [])]
+    return nodes.select(*kept, F.posexplode("fps").alias("table", "fp")).select(*kept, "fp", F.explode(F.array(*keys)).alias("k"))
 
 
 def _first_signature(x: Column, most: int) -> Column:
@@ -236,28 +237,31 @@ def candidate_links(rows: DataFrame, nodes: DataFrame, words: int, similarity: f
     texts share a signature (a family of texts alike in their words), the join also compares sizes and parity bitmaps of
     the shingle sets, so that of such a family too only pairs that may be similar leave it.
     """
-    by = W.partitionBy("k")
-    signed = _signed(nodes.withColumn("c", F.coalesce("c", F.col("t").bitwiseAND(F.lit(CLASS).cast("long")))), most, wild=True)
-    signed = signed.select("*", F.min("c").over(by).alias("least"), F.max("c").over(by).alias("last"), F.count(F.lit(1)).over(by).alias("size"))
-    signed = signed.where(F.col("least") < F.col("last")).drop("least")
+    nodes = nodes.withColumn("c", F.coalesce("c", F.col("t").bitwiseAND(F.lit(CLASS).cast("long"))))
 
-    def met(of: DataFrame, more: list[str], also: Column) -> DataFrame:
-        left, right = (of.select(*[F.col(c).alias(f"{c}{x}") for c in ("t", "c", "fp", "k", "last", *more)]) for x in "ab")
+    def shared(of: DataFrame, more: list[str]) -> DataFrame:
+        by = W.partitionBy("k")
+        signed = _signed(of, most, True, more).select("*", F.min("c").over(by).alias("least"), F.max("c").over(by).alias("last"), F.count(F.lit(1)).over(by).alias("size"))
+        return signed.where(F.col("least") < F.col("last"))
+
+    def met(signed: DataFrame, more: list[str], also: Column) -> DataFrame:
+        left, right = (signed.select(*[F.col(c).alias(f"{c}{x}") for c in ("t", "c", "fp", "k", "last", *more)]) for x in "ab")
         x = F.col("fpa").bitwiseXOR(F.col("fpb"))
         first = F.shiftright("ka", 32).bitwiseAND(F.lit(255).cast("long")) == _first_signature(x, most)
         once = (F.col("cb") == F.col("lasta")) | (F.col("ta") < F.col("tb"))
         found = left.where("ca < lasta").join(right, (F.col("ka") == F.col("kb")) & (F.bit_count(x) <= most) & (F.col("ca") != F.col("cb")) & once & first & also)
         return found.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
 
-    crowded = ["t", "c", "fp", "k", "last"]
-    none = [F.lit(None).cast("long").alias(c) for c in ("a", "b", *crowded)]
-    sparse = met(signed.where(F.col("size") <= crowd), [], F.lit(True)).select("a", "b", *none[2:])
-    found = cut(sparse.union(signed.where(F.col("size") > crowd).select(*none[:2], *crowded)), "copy-met")
-    pairs, dense = found.where("a is not null").select("a", "b"), found.where("t is not null").select(*crowded)
+    # One pass gives the pairs under the other signatures and the texts under crowded ones (b null).
+    signed, crowded = shared(nodes, []), F.col("size") > crowd
+    found = met(signed.where(~crowded), [], F.lit(True)).union(signed.where(crowded).select("t", F.lit(None).cast("long")).distinct())
+    found = cut(found, "copy-met")
+    pairs, dense = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("t"))
     if dense.isEmpty():
         return pairs
-    maps = _shingles(rows, cut(dense.select("t").distinct(), "copy-ids"), words).drop("s")
-    return pairs.union(met(dense.join(maps, "t"), ["n", *BITMAP], able(similarity))).distinct()
+    more = ["n", *BITMAP]
+    dense = nodes.join(_shingles(rows, dense, words).select("t", *more), "t")
+    return pairs.union(met(shared(dense, more).where(crowded), more, able(similarity))).distinct()
 
 
 def _numbered(linked: DataFrame) -> DataFrame:
