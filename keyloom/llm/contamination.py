@@ -27,7 +27,9 @@ THRESHOLD = 0.8
 #: Characters of items in a block: what is sent to executors at once.
 BLOCK_CHARS = 8 << 20
 #: Distinct words whose hashes a worker remembers.
-CACHE = 400_000
+CACHE = 100_000
+#: Rows that go back to Spark at a time; what it sends are up to 10,000 whole texts.
+STEP = 256
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -35,6 +37,11 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def as_bytes(column: pa.Array) -> pa.Array:
+    """A column of strings as their bytes, which need not be valid UTF-8; nothing is copied."""
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
@@ -166,19 +173,27 @@ def contained(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, thresho
     return out
 
 
+def clean_rows(batches: Iterator[pa.RecordBatch], index: Index, at: int) -> Iterator[pa.RecordBatch]:
+    """The rows whose text, column `at`, contains no item of the index, STEP rows at a time."""
+    known = _Hashes()
+    for batch in batches:
+        for lo in range(0, batch.num_rows, STEP):
+            rows = batch.slice(lo, STEP)
+            clean = [not index.matches(t.as_py(), known) for t in as_bytes(rows.column(at))]
+            yield rows.filter(pa.array(clean, pa.bool_()))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that contain no item, with all their columns."""
     spark = docs.sparkSession
     ship(spark)
     schema = docs.schema
+    at = [c.lower() for c in docs.columns].index("text")
     for index in _blocks(benchmark, words, threshold):
         held = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            known = _Hashes()
-            for batch in batches:
-                clean = [not held.value.matches(t.as_py(), known) for t in batch.column(batch.num_columns - 1)]
-                yield batch.filter(pa.array(clean, pa.bool_())).select(list(range(batch.num_columns - 1)))
+            return clean_rows(batches, held.value, at)
 
-        docs = docs.select("*", F.col("text").cast("binary").alias("text as bytes")).mapInArrow(run, schema)
+        docs = docs.mapInArrow(run, schema)
     return docs

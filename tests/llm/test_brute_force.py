@@ -9,6 +9,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -191,6 +192,21 @@ def test_blocks_of_the_benchmark(spark, monkeypatch):
     assert contamination.contained(docs, items).count() == 9 and contamination.decontaminate(docs, items).count() == 1
 
 
+def test_texts_are_sent_once_and_come_back_in_pieces(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "cast(null as string) as lang", "if(id % 7 = 0, 'x a b c d e y', if(id % 11 = 0, null, cast(unhex('66FF20C3') as string))) as Text", "id as n")
+    items = spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")
+    out = contamination.decontaminate(docs, items)
+    assert "as bytes" not in out._jdf.queryExecution().toString() and out.schema.simpleString() == docs.schema.simpleString()
+    got = out.selectExpr("doc_id", "lang", "hex(Text) as t", "n").orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(i, None, None if i % 11 == 0 else "66FF20C3", i) for i in range(3000) if i % 7]
+
+    index = contamination.Index([(1, b"a b c d e")])
+    for kind in (pa.string(), pa.large_string()):
+        text = pa.array(["x a b c d e y", None, "\u00df"] * 1000, kind)
+        parts = list(contamination.clean_rows([pa.record_batch([text.slice(1), pa.array(range(2999))], ["text", "i"])], index, 0))
+        assert max(p.num_rows for p in parts) <= contamination.STEP and [i for p in parts for i in p.column(1).to_pylist()] == [i for i in range(2999) if i % 3 != 2]
+
+
 # Pages
 
 
